@@ -2,7 +2,13 @@
 
 from __future__ import annotations
 
-from panelweave.plans import feature_queries, table_queries  # noqa: F401
+from panelweave.plans import (  # noqa: F401
+    attribution_queries,
+    evaluation_queries,
+    feature_queries,
+    forecast_queries,
+    table_queries,
+)
 from panelweave.plans.registry import QUERIES
 
 __all__ = ["QUERIES"]
