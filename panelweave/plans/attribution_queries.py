@@ -134,7 +134,7 @@ def permutation_importance_linear(spark: SparkSession, sf_dir: str) -> DataFrame
        FROM (SELECT *, greatest(0.0, raw) AS baseline,
                     greatest(0.0, 2.0 + 0.5 * lag_7 - 0.001 * (sell_price * 1.1) + 1.5 * 1) AS counterfactual FROM scored)""",
     ("scored",),
-    six("baseline", "counterfactual", "impact_absolute", "impact_relative_pct"),
+    {**six("baseline", "counterfactual", "impact_absolute"), "impact_relative_pct": 2},
 )
 def what_if_linear(spark: SparkSession, sf_dir: str) -> DataFrame:
     changes = [interpret(f, v) for f, v in PERTURBATIONS.items()]

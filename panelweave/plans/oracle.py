@@ -268,4 +268,4 @@ def with_ctes(names: Sequence[str], sql: str) -> str:
         visit(name)
     if not ordered:
         return sql
-    return "WITH " + ",\n".join(f"{n} AS ({CTES[n][1]})" for n in ordered) + "\n" + sql
+    return "WITH " + ",\n".join(f"{n} AS ({CTES[n][1]})" for n in ordered) + f"\nSELECT * FROM ({sql})"

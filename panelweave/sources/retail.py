@@ -146,9 +146,12 @@ def day_label_of(date: Column | str, start: dt.date = PANEL_START) -> Column:
 
 
 def hourly_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Second panel: summed event value by event type and hour."""
+    """Second panel: summed event value and number of events by event type and hour. The
+    hour is built from its parts, so the session time zone plays no role."""
+    ts, zero = F.col("ts"), F.lit(0)
+    hour = F.make_timestamp_ntz(F.year(ts), F.month(ts), F.dayofmonth(ts), F.hour(ts), zero, zero.cast("decimal(16,6)"))
     return (
         raw(spark, sf_dir, "events")
-        .groupBy("event_type", F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("hour"))
+        .groupBy("event_type", hour.alias("hour"))
         .agg(F.sum("value").alias("value"), F.count(F.lit(1)).alias("n_events"))
     )
