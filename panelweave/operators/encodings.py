@@ -40,9 +40,7 @@ def fit_target_encoding(train: DataFrame, columns: Sequence[str], target: str, w
         mean = F.col("_sum") / F.col("_n")
         if weight:
             mean = (F.col("_n") * mean + weight * F.lit(default)) / (F.col("_n") + weight)
-        means[c] = measured(
-            totals.filter((F.col("_level") == bits) & F.col(c).isNotNull()).select(c, mean.alias(f"te_{c}"))
-        )
+        means[c] = totals.filter((F.col("_level") == bits) & F.col(c).isNotNull()).select(c, mean.alias(f"te_{c}"))
     return TargetEncoding(means, default)
 
 

@@ -6,9 +6,12 @@ rolling columns come from one sorted pass. A series has one row per day, which b
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
+from functools import reduce
+from itertools import chain
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelweave.functions.columns import EPSILON, calendar_parts
@@ -17,7 +20,10 @@ from panelweave.session import measured
 # Default lags, rolling windows and rolling statistics.
 LAGS = (1, 7, 14, 28)
 WINDOWS = (7, 14, 28)
-ROLLING = {"mean": F.avg, "std": F.stddev_samp, "min": F.min, "max": F.max}
+STATISTICS = ("mean", "std", "min", "max")
+
+# What each rolling statistic needs to know of a block of rows.
+BLOCK_PARTS = {"mean": ("sum",), "std": ("sum", "squares"), "min": ("min",), "max": ("max",)}
 
 
 def add_lags(df: DataFrame, keys: Sequence[str], order: str, value: str, lags: Sequence[int] = LAGS) -> DataFrame:
@@ -32,21 +38,65 @@ def add_rolling(
     order: str,
     value: str,
     windows: Sequence[int] = WINDOWS,
-    statistics: Sequence[str] = tuple(ROLLING),
+    statistics: Sequence[str] = STATISTICS,
     full_window: bool = False,
 ) -> DataFrame:
     """``roll_<statistic>_<w>`` over the ``w`` rows before the current one.
 
     By default a shorter history still gives a value; with ``full_window`` it gives null.
+
+    Spark evaluates a sliding frame row by row, so its cost is the sum of the window sizes.
+    Here only one block, as long as the windows' common divisor, is a sliding frame; a longer
+    window merges the block with the blocks 1, 2, ... block lengths earlier in the series.
+    Windows without a common divisor fall back to blocks of one row, which is still right.
     """
     w = Window.partitionBy(*keys).orderBy(order)
+    block = math.gcd(*windows)
+    frame = w.rowsBetween(-block, -1)
+    parts = {
+        "n": F.count(value).over(frame),
+        "sum": F.sum(value).over(frame),
+        "squares": F.var_pop(value).over(frame) * F.count(value).over(frame),
+        "min": F.min(value).over(frame),
+        "max": F.max(value).over(frame),
+    }
+    needed = {"n", *chain.from_iterable(BLOCK_PARTS[s] for s in statistics)}
+    names = [p for p in parts if p in needed]
+    blocks = df.withColumns({f"_{p}_0": parts[p] for p in names})
+    reach = max(windows) // block
+    blocks = blocks.withColumns({f"_{p}_{i}": F.lag(f"_{p}_0", i * block).over(w) for i in range(1, reach) for p in names})
     out = {}
     for size in windows:
-        frame = w.rowsBetween(-size, -1)
+        merged = _merge_blocks(size // block, statistics)
         for name in statistics:
-            c = ROLLING[name](value).over(frame)
-            out[f"roll_{name}_{size}"] = F.when(F.count(value).over(frame) == size, c) if full_window else c
-    return df.withColumns(out)
+            c = merged[name]
+            out[f"roll_{name}_{size}"] = F.when(_total("n", size // block) == size, c) if full_window else c
+    return blocks.withColumns(out).drop(*[f"_{p}_{i}" for p in names for i in range(reach)])
+
+
+def _total(part: str, blocks: int) -> Column:
+    return reduce(Column.__add__, [F.coalesce(F.col(f"_{part}_{i}"), F.lit(0)) for i in range(blocks)])
+
+
+def _merge_blocks(blocks: int, statistics: Sequence[str]) -> dict[str, Column]:
+    """Statistics of several blocks from their counts, sums, squared deviations and ranges."""
+    n = _total("n", blocks)
+    out = {}
+    if "mean" in statistics or "std" in statistics:
+        mean = F.when(n > 0, _total("sum", blocks) / n)
+        out["mean"] = mean
+    if "std" in statistics:
+        between = [
+            F.coalesce(F.col(f"_n_{i}") * F.pow(F.col(f"_sum_{i}") / F.nullif(f"_n_{i}", F.lit(0)) - mean, F.lit(2)), F.lit(0.0))
+            for i in range(blocks)
+        ]
+        squares = _total("squares", blocks) + reduce(Column.__add__, between)
+        out["std"] = F.when(n > 1, F.sqrt(squares / (n - 1)))
+    for name, pick in (("min", F.least), ("max", F.greatest)):
+        if name in statistics:
+            columns = [F.col(f"_{name}_{i}") for i in range(blocks)]
+            out[name] = pick(*columns) if blocks > 1 else columns[0]
+    return out
 
 
 def add_calendar(df: DataFrame, date: str) -> DataFrame:

@@ -21,7 +21,7 @@ from panelweave.sources.tables import save_series_table
 
 EVENT = "event_name_1"
 ENCODED = ["dept_id", "cat_id", "store_id", "state_id"]
-ROLL_COLUMNS = [f"roll_{s}_{w}" for w in features.WINDOWS for s in features.ROLLING]
+ROLL_COLUMNS = [f"roll_{s}_{w}" for w in features.WINDOWS for s in features.STATISTICS]
 LAG_COLUMNS = [f"lag_{k}" for k in features.LAGS]
 
 

@@ -13,6 +13,8 @@ SQL_SETTINGS = {
     "spark.sql.requireAllClusterKeysForCoPartition": "false",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # HotSpot leaves longer methods uncompiled; above this Spark splits the code instead.
+    "spark.sql.codegen.hugeMethodLimit": "8000",
 }
 
 _own_folder: dict[str, str] = {}
@@ -47,12 +49,13 @@ def fresh_path(spark: SparkSession, name: str) -> str:
 
 
 def measured(df: DataFrame) -> DataFrame:
-    """Materialise a small aggregate, so that its joins are planned from its true size.
+    """Write a small aggregate to the shared folder and return it from there.
 
-    Catalyst broadcasts a cached side only when its measured bytes are below
-    ``spark.sql.autoBroadcastJoinThreshold``; above it the join is a shuffle join that
-    AQE may split on skew. Nothing is broadcast on trust.
+    Catalyst then plans joins with it from the bytes on disk: a broadcast below
+    ``spark.sql.autoBroadcastJoinThreshold``, a shuffle join that AQE may split on skew above
+    it. Nothing is broadcast on trust, the aggregate is computed once however often it is
+    used, and losing an executor does not lose it.
     """
-    df = df.persist()
-    df.count()
-    return df
+    path = fresh_path(df.sparkSession, "small")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
