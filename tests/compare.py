@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
+import io
 import os
+import re
 import sys
 import time
 from collections import Counter
@@ -51,6 +54,18 @@ def difference(spark_df, con: duckdb.DuckDBPyConnection, sql: str) -> str | None
     return f"types {off}" if off else None
 
 
+def plan(df) -> str:
+    out = io.StringIO()
+    with contextlib.redirect_stdout(out):
+        df.explain("formatted")
+    return out.getvalue()
+
+
+def operators(df) -> list[str]:
+    """Physical operators, from the tree part of the plan."""
+    return re.findall(r"[:+\-\s]*([A-Z]\w+)[^\n]*\(\d+\)", plan(df).split("\n\n")[0])
+
+
 def main(sf_dir: str, wanted: list[str]) -> int:
     from pyspark.sql import SparkSession
 
