@@ -70,14 +70,11 @@ def all_metrics(evaluated: DataFrame, scale: DataFrame, keys: Sequence[str], by:
     )
 
 
-def pooled_rmsse(evaluated: DataFrame, scale: DataFrame, by: Sequence[str] = ("model",)) -> DataFrame:
-    """One rmsse over all rows: the scale pools the differences within each series, and none
-    is taken across two series."""
+def with_pooled_rmsse(errors: DataFrame, scale: DataFrame) -> DataFrame:
+    """Add one rmsse over all rows behind each rmse: the scale pools the differences within
+    each series, and none is taken across two series."""
     pooled = scale.agg((F.sum("sum_squared") / F.sum("n_differences") + EPSILON).alias("scale"))
-    mse = F.avg((F.col("y") - F.col("yhat")) * (F.col("y") - F.col("yhat")))
-    return evaluated.groupBy(*by).agg(mse.alias("mse")).select(
-        *by, F.sqrt(F.col("mse") / pooled.scalar()).alias("rmsse")
-    )
+    return errors.withColumn("rmsse", F.sqrt(F.col("rmse") * F.col("rmse") / pooled.scalar()))
 
 
 def weighted_quantile_loss(evaluated: DataFrame, by: Sequence[str] = ()) -> DataFrame:

@@ -53,18 +53,23 @@ def add_rolling(
     w = Window.partitionBy(*keys).orderBy(order)
     block = math.gcd(*windows)
     frame = w.rowsBetween(-block, -1)
+    v = F.col(value)
+    # Counts, sums and squared deviations of an empty block are 0, its extremes null.
     parts = {
-        "n": F.count(value).over(frame),
-        "sum": F.sum(value).over(frame),
-        "squares": F.var_pop(value).over(frame) * F.count(value).over(frame),
-        "min": F.min(value).over(frame),
-        "max": F.max(value).over(frame),
+        "n": F.count(v).over(frame),
+        "sum": F.coalesce(F.sum(v).over(frame).cast("double"), F.lit(0.0)),
+        "squares": F.coalesce(F.var_pop(v).over(frame) * F.count(v).over(frame), F.lit(0.0)),
+        "min": F.min(v).over(frame),
+        "max": F.max(v).over(frame),
     }
+    empty = {"n": 0, "sum": 0.0, "squares": 0.0, "min": None, "max": None}
     needed = {"n", *chain.from_iterable(BLOCK_PARTS[s] for s in statistics)}
     names = [p for p in parts if p in needed]
-    blocks = df.withColumns({f"_{p}_0": parts[p] for p in names})
     reach = max(windows) // block
-    blocks = blocks.withColumns({f"_{p}_{i}": F.lag(f"_{p}_0", i * block).over(w) for i in range(1, reach) for p in names})
+    blocks = df.withColumns({f"_{p}_0": parts[p] for p in names})
+    blocks = blocks.withColumns(
+        {f"_{p}_{i}": F.lag(f"_{p}_0", i * block, empty[p]).over(w) for i in range(1, reach) for p in names}
+    )
     out = {}
     for size in windows:
         merged = _merge_blocks(size // block, statistics)
@@ -75,7 +80,7 @@ def add_rolling(
 
 
 def _total(part: str, blocks: int) -> Column:
-    return reduce(Column.__add__, [F.coalesce(F.col(f"_{part}_{i}"), F.lit(0)) for i in range(blocks)])
+    return reduce(Column.__add__, [F.col(f"_{part}_{i}") for i in range(blocks)])
 
 
 def _merge_blocks(blocks: int, statistics: Sequence[str]) -> dict[str, Column]:
@@ -83,14 +88,12 @@ def _merge_blocks(blocks: int, statistics: Sequence[str]) -> dict[str, Column]:
     n = _total("n", blocks)
     out = {}
     if "mean" in statistics or "std" in statistics:
-        mean = F.when(n > 0, _total("sum", blocks) / n)
-        out["mean"] = mean
+        out["mean"] = mean = F.when(n > 0, _total("sum", blocks) / n)
     if "std" in statistics:
-        between = [
-            F.coalesce(F.col(f"_n_{i}") * F.pow(F.col(f"_sum_{i}") / F.nullif(f"_n_{i}", F.lit(0)) - mean, F.lit(2)), F.lit(0.0))
-            for i in range(blocks)
-        ]
-        squares = _total("squares", blocks) + reduce(Column.__add__, between)
+        squares = _total("squares", blocks)
+        for i in range(blocks if blocks > 1 else 0):
+            off = F.col(f"_sum_{i}") / F.greatest(F.col(f"_n_{i}"), F.lit(1)) - mean
+            squares = squares + F.col(f"_n_{i}") * off * off
         out["std"] = F.when(n > 1, F.sqrt(squares / (n - 1)))
     for name, pick in (("min", F.least), ("max", F.greatest)):
         if name in statistics:

@@ -47,10 +47,10 @@ def densify(
 ) -> DataFrame:
     """Every series on every day, with ``fill`` where the sparse table has no row.
 
-    The days are generated after the series have been placed by key, so the dense rows are
-    never shuffled: only the series and the sparse rows move.
+    ``series`` comes from ``describe_series``, hence placed by key. The days are generated
+    after that, so the dense rows are never shuffled: only the series and the sparse rows move.
     """
-    grid = series.repartition(*keys).withColumn(date, F.explode(F.sequence(F.lit(start), F.lit(end))))
+    grid = series.withColumn(date, F.explode(F.sequence(F.lit(start), F.lit(end))))
     values = sparse.select(*keys, date, *fill)
     return grid.join(values, [*keys, date], "left").fillna(fill)
 
@@ -69,6 +69,13 @@ def distinct_series(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     return df.select(*keys).distinct()
 
 
+def describe_series(df: DataFrame, keys: Sequence[str], attributes: Sequence[str]) -> DataFrame:
+    """One row per series with the attributes that its key decides."""
+    if not attributes:
+        return distinct_series(df, keys)
+    return df.groupBy(*keys).agg(*[F.any_value(a).alias(a) for a in attributes])
+
+
 def long_enough(df: DataFrame, keys: Sequence[str], min_length: int) -> DataFrame:
     """Rows of the series with at least ``min_length`` rows."""
     lengths = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_rows"))

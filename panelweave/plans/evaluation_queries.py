@@ -155,7 +155,8 @@ def naive_by_category(spark: SparkSession, sf_dir: str) -> DataFrame:
     six("rmsse"),
 )
 def metric_rmsse_pooled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return evaluate.pooled_rmsse(evaluated(spark, sf_dir), scale(spark, sf_dir, 1))
+    errors = evaluate.error_metrics(evaluated(spark, sf_dir), ["model"])
+    return evaluate.with_pooled_rmsse(errors, scale(spark, sf_dir, 1)).select("model", "rmsse")
 
 
 QUANTILES = (0.1, 0.5, 0.9)
@@ -242,9 +243,8 @@ def dm_pairwise(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Logged runs: each model under other metric names, one run without rmse, one open."""
-    rows = evaluated(spark, sf_dir)
-    errors = evaluate.error_metrics(rows, ["model"])
-    metrics = measured(errors.join(evaluate.pooled_rmsse(rows, scale(spark, sf_dir, 1)), "model"))
+    errors = evaluate.error_metrics(evaluated(spark, sf_dir), ["model"])
+    metrics = measured(evaluate.with_pooled_rmsse(errors, scale(spark, sf_dir, 1)))
     of = lambda model: metrics.filter(F.col("model") == model)
     start, hour = 990_000_000_000, 3_600_000
     log = leaderboard.metrics_to_runs
@@ -348,5 +348,5 @@ def model_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
         "gbt": forecast_queries.forecast_gbt(spark, sf_dir),
     }
     every = significance.union_models({**simple_forecasts(spark, sf_dir), **fitted})
-    rows = joins.align(every, actuals(spark, sf_dir), DAY_KEYS)
-    return evaluate.pooled_rmsse(rows, scale(spark, sf_dir, 1)).join(evaluate.error_metrics(rows, ["model"]), "model")
+    errors = evaluate.error_metrics(joins.align(every, actuals(spark, sf_dir), DAY_KEYS), ["model"])
+    return evaluate.with_pooled_rmsse(errors, scale(spark, sf_dir, 1))

@@ -1,7 +1,8 @@
 """The staged tables: daily facts, silver (enriched panel) and gold (features by split).
 
 Each is written once per application below the shared folder, bucketed by series, so that
-later plans start from files rather than from a long lineage.
+later plans start from files rather than from a long lineage. Only the sparse daily facts
+are shuffled to their buckets; silver and gold rows are made, and written, in place.
 """
 
 from __future__ import annotations
@@ -26,22 +27,29 @@ LAG_COLUMNS = [f"lag_{k}" for k in features.LAGS]
 
 
 def _staged(
-    spark: SparkSession, sf_dir: str, stage: str, by_brand: bool, build: Callable[[], DataFrame], partition_by: tuple[str, ...] = ()
+    spark: SparkSession,
+    sf_dir: str,
+    stage: str,
+    by_brand: bool,
+    build: Callable[[], DataFrame],
+    partition_by: tuple[str, ...] = (),
+    placed: bool = True,
 ) -> DataFrame:
     configure(spark)
     source = hashlib.md5(f"{sf_dir}|{by_brand}".encode()).hexdigest()[:10]
     name = f"panelweave_{stage}_{source}_{re.sub(r'[^0-9a-zA-Z]', '_', spark.sparkContext.applicationId)}"
     if spark.catalog.tableExists(name):
         return spark.table(name)
-    return save_series_table(build(), name, KEYS, "date", partition_by)
+    return save_series_table(build(), name, KEYS, "date", partition_by, placed=placed)
 
 
 def daily(spark: SparkSession, sf_dir: str, by_brand: bool = False) -> DataFrame:
-    return _staged(spark, sf_dir, "daily", by_brand, lambda: retail.daily_sales(spark, sf_dir, by_brand))
+    build = lambda: retail.daily_sales(spark, sf_dir, by_brand)
+    return _staged(spark, sf_dir, "daily", by_brand, build, placed=False)
 
 
 def series(daily_facts: DataFrame) -> DataFrame:
-    return retail.with_hierarchy(daily_facts.select("item_id", "store_id", "state_id").distinct()).select(*IDS)
+    return retail.with_hierarchy(reshape.describe_series(daily_facts, KEYS, ["state_id"])).select(*IDS)
 
 
 def dense_sales(daily_facts: DataFrame) -> DataFrame:
@@ -81,14 +89,17 @@ def window_features(df: DataFrame) -> DataFrame:
 
 
 def gold_plan(silver_table: DataFrame) -> DataFrame:
-    """Silver plus all features, rows with a full lag history, labelled by split."""
+    """Silver plus all features, rows with a full lag history, labelled by split.
+
+    The small tables are joined first, while rows are narrow; the windows then widen them.
+    """
     train = silver_table.filter(F.col("date") <= F.lit(retail.TRAIN_END))
     means = encodings.fit_target_encoding(train, ENCODED, "sales")
     codes = encodings.fit_event_codes(silver_table, EVENT)
-    df = features.add_calendar(window_features(silver_table), "date")
-    df = features.add_group_zscore(df, ["store_id", "wm_yr_wk"], "sell_price", "price_norm_store")
+    df = features.add_group_zscore(silver_table, ["store_id", "wm_yr_wk"], "sell_price", "price_norm_store")
     df = encodings.apply_target_encoding(df, means)
     df = encodings.apply_event_codes(df, codes, EVENT, "event_name_encoded")
+    df = features.add_calendar(window_features(df), "date")
     df = reshape.drop_incomplete(df, [f"lag_{max(features.LAGS)}"])
     return reshape.temporal_split(df, "date", retail.TRAIN_END, retail.VAL_END, retail.PANEL_END)
 

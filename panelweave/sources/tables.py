@@ -67,18 +67,20 @@ def save_series_table(
     order: str,
     partition_by: Sequence[str] = (),
     buckets: int | None = None,
+    placed: bool = False,
 ) -> DataFrame:
     """Save a panel bucketed by its series key and sorted by day within each bucket.
 
     Windows, per-series aggregates, grouped maps and joins on the series key then read the
-    table without a shuffle. One file per bucket and partition value.
+    table without a shuffle. One file per bucket and partition value. ``placed`` says that
+    the rows come from series tables with as many buckets and never left their place, so
+    that they are written where they are.
     """
     spark = df.sparkSession
     n = buckets or bucket_count(spark)
+    rows = df if placed else df.repartition(n, *keys)
     writer = (
-        df.repartition(n, *keys)
-        .sortWithinPartitions(*partition_by, *keys, order)
-        .write.format("parquet")
+        rows.write.format("parquet")
         .mode("overwrite")
         .bucketBy(n, *keys)
         .sortBy(*keys, order)

@@ -45,7 +45,7 @@ def test_scaled_metrics_equal_numpy(spark, m):
     diff = train[m:] - train[:-m]
     assert got.rmsse == pytest.approx(math.sqrt(np.mean((y - p) ** 2) / (np.mean(diff**2) + 1e-8)))
     assert got.mase == pytest.approx(np.mean(abs(y - p)) / (np.mean(abs(diff)) + 1e-8))
-    pooled = evaluate.pooled_rmsse(pairs(spark, y, p), scale).first()
+    pooled = evaluate.with_pooled_rmsse(evaluate.error_metrics(pairs(spark, y, p)), scale).first()
     assert pooled.rmsse == pytest.approx(got.rmsse)
 
 

@@ -118,7 +118,7 @@ def test_split_bounds(spark):
 
 def test_densify_unpivot_and_fill(spark):
     sparse = spark.createDataFrame([("a", D0, 2.0), ("b", D0 + dt.timedelta(days=2), 3.0)], "k string, date date, v double")
-    dense = reshape.densify(sparse, sparse.select("k"), ["k"], "date", D0, D0 + dt.timedelta(days=2), {"v": 0.0})
+    dense = reshape.densify(sparse, reshape.describe_series(sparse, ["k"], []), ["k"], "date", D0, D0 + dt.timedelta(days=2), {"v": 0.0})
     assert sorted((r.k, (r.date - D0).days, r.v) for r in dense.collect()) == [
         ("a", 0, 2.0), ("a", 1, 0.0), ("a", 2, 0.0), ("b", 0, 0.0), ("b", 1, 0.0), ("b", 2, 3.0),
     ]

@@ -19,6 +19,21 @@ def test_series_windows_do_not_shuffle(spark, sf_dir):
     assert "Window" in ops and "Exchange" not in ops and ops.count("Sort") == 1
 
 
+def test_silver_moves_no_rows(spark, sf_dir):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "100000")
+    try:
+        ops = operators(medallion.silver_plan(spark, sf_dir))
+        assert "Exchange" not in ops and "Generate" in ops
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_staged_tables_have_one_file_per_bucket(spark, sf_dir):
+    n = tables.bucket_count(spark)
+    assert len(medallion.silver(spark, sf_dir).inputFiles()) <= n
+    assert len(medallion.gold(spark, sf_dir).filter("split = 'val'").inputFiles()) <= 3 * n
+
+
 def test_gold_moves_only_small_tables(spark, sf_dir):
     ops = operators(medallion.gold_plan(medallion.silver(spark, sf_dir)))
     assert "Exchange" not in ops and "SortMergeJoin" not in ops and ops.count("BroadcastHashJoin") == 6
