@@ -6,8 +6,10 @@ import pytest
 from compare import difference, duck, operators
 
 import __spark_entry__ as entry
+from panelweave.plans.catalog import QUERIES as PANEL
 
-QUERIES, ORACLES = entry.queries(), entry.oracle_sql()
+QUERIES = {name: run for name, run in entry.queries().items() if name in PANEL}
+ORACLES = {name: sql for name, sql in entry.oracle_sql().items() if name in PANEL}
 
 
 @pytest.fixture(scope="module")
