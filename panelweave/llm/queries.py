@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from panelweave.llm import fingerprints, language, lattice_lm, quality, sentencepiece_codec, sharding, suffix_levels
+from panelweave.llm import dart_minhash, fingerprints, language, lattice_lm, quality, sentencepiece_codec, sharding, suffix_levels
 from panelweave.llm.corpus import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -65,6 +65,11 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held, "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
+@query("op6_dart_minhash")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dart_minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 @query("op7_suffix_levels")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
