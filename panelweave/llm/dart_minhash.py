@@ -117,7 +117,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame
     return joined.filter(shared >= F.lit(similarity) * (F.size("ea") + F.size("eb") - shared)).select("a", "b")
 
 
-def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, size: int = SHINGLE, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+def classes(docs: DataFrame, similarity: float = SIMILARITY, size: int = SHINGLE, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """Classes of near-duplicate texts: connected components of the pairs whose weighted Jaccard
     similarity over shingles of ``size`` words is at least ``similarity``.
 
@@ -133,8 +133,9 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, size: int =
     Both bounds are conditions of the join, so what is discarded is never a row, and neither
     loses a pair but by the sketch's six deviations. All remaining pairs are verified exactly.
 
-    Returns doc_id, class_id (least doc_id of the class) and class_size (rows). A text without
-    a word is only near its equals; null texts stand alone, but for rows that share an id.
+    Returns doc_id, key (MD5 of the text, null for null) and class (a name) of each row. A text
+    without a word is only near its equals; null texts stand alone, but for rows that share an
+    id. The shape of the classes does not depend on the order or the partitions of the rows.
     """
     base = docs.select("doc_id", "text", F.md5("text").alias("key"))
     ids = settled(base.select("doc_id", "key"), "ids")
@@ -200,6 +201,25 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, size: int =
     final = components(links) if not second.isEmpty() else label
     named = nodes.join(final, "node", "left").select("key", F.coalesce("label", "node").cast("string").alias("class"))
     lone = F.concat(F.lit("null "), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
-    owned = ids.join(named, "key", "left").select("doc_id", F.coalesce("class", lone).alias("class"))
-    classes = owned.groupBy("class").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("class_size"))
-    return owned.join(classes, "class").select("doc_id", "class_id", "class_size")
+    return ids.join(named, "key", "left").select("doc_id", "key", F.coalesce("class", lone).alias("class"))
+
+
+def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """doc_id, class_id (least doc_id of the class) and class_size (rows) of every row."""
+    owned = classes(docs, similarity)
+    sizes = owned.groupBy("class").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("class_size"))
+    return owned.join(sizes, "class").select("doc_id", "class_id", "class_size")
+
+
+def one_of_each(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """The row of each class with the least doc_id (then key); null ids come last. Of rows with
+    equal id and text one stays. Rows keep their columns."""
+    order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "key")
+    chosen = classes(docs, similarity).groupBy("class").agg(F.min(order).alias("one")).select(
+        F.coalesce("one.doc_id", F.lit(-1).cast("long")).alias("_id"), F.coalesce("one.key", F.lit("")).alias("_key"), F.col("one.doc_id").isNull().alias("_none")
+    )
+    keyed = docs.withColumns(
+        {"_id": F.coalesce("doc_id", F.lit(-1).cast("long")), "_key": F.coalesce(F.md5("text"), F.lit("")), "_none": F.col("doc_id").isNull()}
+    )
+    keys = ["_id", "_key", "_none"]
+    return keyed.join(chosen, keys, "left_semi").dropDuplicates(keys).select(*docs.columns)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from panelweave.llm import dart_minhash, fingerprints, language, lattice_lm, quality, sentencepiece_codec, sharding, suffix_levels
+from panelweave.llm import dart_minhash, fingerprints, language, lattice_lm, licences, quality, semantic_leaks, sentencepiece_codec, sharding, suffix_levels
 from panelweave.llm.corpus import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -76,6 +76,17 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_levels.cut_repeats(docs, 400)
 
 
+@query("op8_semantic_leaks")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return semantic_leaks.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op9_licences")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return licences.scan(docs, licences.train(docs))
+
+
 @query("op10_winnowing")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.edited_with_next(table(spark, sf_dir, "documents").select("doc_id", "text"))
