@@ -55,24 +55,26 @@ def future_frame(
 
 
 def seasonal_naive(history: DataFrame, keys: Sequence[str], date: str, value: str, horizon: int, season: int = 7) -> DataFrame:
-    """Repeat the last observed value of the same phase of the season.
+    """Repeat the last observed value of the same phase of the season: ``horizon`` rows for every
+    series with an observed value.
 
-    Each phase's last row is carried straight to its future days, so nothing is joined.
-    On a dense panel it is enough to pass the last ``season`` days of history.
+    A phase that the history lacks gets the mean of the series. A series is one small row (its
+    last day, its mean, the last value by phase) that is expanded to the future days, so
+    nothing is joined. Null values are no observations.
     """
     phase = F.pmod(F.datediff(date, F.lit("1970-01-01")), F.lit(season))
-    latest = history.groupBy(*keys, phase.alias("_phase")).agg(
-        F.max(date).alias("_at"), F.max_by(value, date).alias("yhat")
+    by_phase = history.groupBy(*keys, phase.alias("_phase")).agg(
+        F.max(date).alias("_end"),
+        F.max_by(value, F.when(F.col(value).isNotNull(), F.col(date))).alias("_last"),
+        F.sum(F.col(value).cast("double")).alias("_sum"),
+        F.count(value).alias("_n"),
     )
-    end = F.max("_at").over(Window.partitionBy(*keys))
-    skipped = F.floor(F.datediff("_end", "_at") / season).cast("int") + 1
-    first = F.date_add("_at", skipped * season)
-    return (
-        latest.withColumn("_end", end)
-        .withColumns({"_first": first, "_stop": F.date_add("_end", horizon)})
-        .filter(F.col("_first") <= F.col("_stop"))
-        .select(*keys, F.explode(F.sequence("_first", "_stop", F.expr(f"interval {season} days"))).alias("ds"), "yhat")
+    known = F.when(F.col("_last").isNotNull(), F.struct("_phase", "_last"))
+    one = by_phase.groupBy(*keys).agg(
+        F.max("_end").alias("_end"), F.map_from_entries(F.collect_list(known)).alias("_known"), (F.sum("_sum") / F.sum("_n")).alias("_level"), F.sum("_n").alias("_n")
     )
+    ahead = one.filter("_n > 0").select(*keys, "_known", "_level", _next_days(F.col("_end"), horizon).alias("ds"))
+    return ahead.select(*keys, "ds", F.coalesce(F.col("_known")[F.pmod(F.datediff("ds", F.lit("1970-01-01")), F.lit(season))], F.col("_level")).alias("yhat"))
 
 
 def constant_forecast(history: DataFrame, keys: Sequence[str], date: str, level: Column, horizon: int) -> DataFrame:
@@ -132,8 +134,8 @@ def seasonal_regression(
 ) -> DataFrame:
     """Per-series trend and seasonality with a 95% interval, clipped at 0.
 
-    Regressors go on with their last value or with 0. A series that cannot be fitted gets a
-    zero forecast and its ``status`` says why. One group holds one series, at most one row
+    Regressors go on with their last value or with 0. Rows without a value are left out of the
+    fit. A series that cannot be fitted gets a zero forecast and its ``status`` says why. One group holds one series, at most one row
     per day.
     """
     regressors = [*last_value_regressors, *zero_regressors]
@@ -159,9 +161,8 @@ def seasonal_regression(
             ahead = np.zeros((horizon, len(regressors)))
             ahead[:, : len(last_value_regressors)] = x[-1, : len(last_value_regressors)]
             y = pdf[value].to_numpy(float)
-            if not np.isfinite(y).all():
-                raise ValueError("the history has gaps")
-            yhat, spread = fit_series(to_day(stamps), y, x, to_day(ds), ahead, ridge)
+            seen = np.isfinite(y)
+            yhat, spread = fit_series(to_day(stamps)[seen], y[seen], x[seen], to_day(ds), ahead, ridge)
             status = "ok"
         except Exception as error:
             yhat, spread, status = np.zeros(horizon), 0.0, f"failed: {error}"
@@ -184,31 +185,38 @@ def failed_series(forecasts: DataFrame, keys: Sequence[str]) -> DataFrame:
     return per_series.groupBy("status").agg(F.count(F.lit(1)).alias("n_series"))
 
 
-def decompose(df: DataFrame, keys: Sequence[str], order: str, value: str, period: int = 7) -> DataFrame:
+def decompose(
+    df: DataFrame, keys: Sequence[str], order: str, value: str, period: int = 7, index: Column | None = None
+) -> DataFrame:
     """Trend (centred moving mean), seasonal (phase mean of the detrended series, centred on
     0) and residual, for every series at once.
 
-    The phase means are ``period`` conditional means over the series, so all steps share the
-    one sort by series and time.
+    ``index`` numbers the time steps (default: days); phases and moving means go by it, so a
+    gap moves neither. In an even period the two ends of the mean count half, so that each
+    phase has the same weight. The phase means are ``period`` conditional means over the
+    series, so all steps share the one sort by series and time.
     """
+    step = F.datediff(order, F.lit("1970-01-01")) if index is None else index
     series = Window.partitionBy(*keys)
-    w = series.orderBy(order)
+    w = series.orderBy("_i")
     half = period // 2
+    inner = w.rangeBetween(-(half - 1), half - 1) if period % 2 == 0 else w.rangeBetween(-half, half)
+    total, n = F.sum(value).over(inner), F.count(value).over(inner)
+    if period % 2 == 0:
+        for end in (w.rangeBetween(-half, -half), w.rangeBetween(half, half)):
+            total = total + F.coalesce(F.sum(value).over(end), F.lit(0.0)) * 0.5
+            n = n + F.count(value).over(end) * 0.5
     phase_names = [f"_phase_{i}" for i in range(period)]
     means = [F.avg(F.when(F.col("_phase") == i, F.col("_detrended"))).over(series) for i in range(period)]
     filled = reduce(Column.__add__, [F.coalesce(c, F.lit(0.0)) for c in phase_names])
     present = reduce(Column.__add__, [F.col(c).isNotNull().cast("int") for c in phase_names])
     seasonal = F.element_at(F.array(*phase_names), F.col("_phase") + 1) - filled / present
     return (
-        df.withColumns(
-            {
-                "_phase": F.pmod(F.row_number().over(w) - 1, F.lit(period)),
-                "trend": F.avg(value).over(w.rowsBetween(-half, half)),
-            }
-        )
+        df.withColumn("_i", step.cast("bigint"))
+        .withColumns({"_phase": F.pmod("_i", F.lit(period)).cast("int"), "trend": total / n})
         .withColumn("_detrended", F.col(value) - F.col("trend"))
         .withColumns(dict(zip(phase_names, means)))
         .withColumn("seasonal", seasonal)
         .withColumn("residual", F.col(value) - F.col("trend") - F.col("seasonal"))
-        .drop("_phase", "_detrended", *phase_names)
+        .drop("_i", "_phase", "_detrended", *phase_names)
     )

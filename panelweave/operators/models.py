@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Sequence
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import GBTRegressor, LinearRegression
+from pyspark.ml.regression import GBTRegressor, LinearRegression, LinearRegressionModel
 from pyspark.ml.tuning import ParamGridBuilder, TrainValidationSplit
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,10 +19,13 @@ from panelweave.functions.columns import non_negative
 TREE_DEPTH = 6
 LEARNING_RATE = 0.05
 ROW_SHARE = 0.8
+FEATURE_SHARE = "0.8"
+ROUNDS = 500
 
 
 def _assembler(features: Sequence[str]) -> VectorAssembler:
-    return VectorAssembler(inputCols=list(features), outputCol="features", handleInvalid="skip")
+    """Missing values are kept, so that scoring loses no row; fitting drops them before."""
+    return VectorAssembler(inputCols=list(features), outputCol="features", handleInvalid="keep")
 
 
 def fit_trees(
@@ -29,12 +33,12 @@ def fit_trees(
     features: Sequence[str],
     target: str,
     is_validation: Column,
-    rounds: int = 20,
+    rounds: int = ROUNDS,
     depth: int = TREE_DEPTH,
     seed: int = 42,
 ) -> PipelineModel:
     """Boosted trees on complete rows; boosting stops early once the rows marked
-    ``is_validation`` (the newest days) no longer improve."""
+    ``is_validation`` (the newest days) get worse. Warns when that leaves a single tree."""
     rows = train.select(*features, F.col(target).cast("double").alias("label"), is_validation.alias("held_out")).dropna()
     trees = GBTRegressor(
         featuresCol="features",
@@ -44,15 +48,26 @@ def fit_trees(
         maxDepth=depth,
         stepSize=LEARNING_RATE,
         subsamplingRate=ROW_SHARE,
+        featureSubsetStrategy=FEATURE_SHARE,
         validationIndicatorCol="held_out",
+        validationTol=0.0,
         seed=seed,
     )
-    return Pipeline(stages=[_assembler(features), trees]).fit(rows)
+    model = Pipeline(stages=[_assembler(features), trees]).fit(rows)
+    if model.stages[-1].getNumTrees == 1 < rounds:
+        warnings.warn("boosting stopped after one tree", stacklevel=2)
+    return model
 
 
 def predict(model: PipelineModel, rows: DataFrame, output: str = "yhat") -> DataFrame:
-    """Score rows and clip at 0."""
-    scored = model.transform(rows)
+    """Score all rows and clip at 0. Trees send a missing value to the right of a split; a
+    linear model, which has no other rule for it, reads it as 0."""
+    if isinstance(model.stages[-1], LinearRegressionModel):
+        own = {c: rows[c] for c in model.stages[0].getInputCols()}
+        filled = model.transform(rows.withColumns({f"_own_{c}": v for c, v in own.items()}).fillna(0.0, subset=list(own)))
+        scored = filled.withColumns({c: F.col(f"_own_{c}") for c in own}).drop(*[f"_own_{c}" for c in own])
+    else:
+        scored = model.transform(rows)
     return scored.withColumn(output, non_negative("prediction")).drop("features", "prediction")
 
 

@@ -167,7 +167,7 @@ QUANTILES = (0.1, 0.5, 0.9)
     """WITH q AS (
          SELECT item_id, store_id, quantile, quantile_cont(sales, [0.1, 0.5, 0.9])[n] AS yhat
          FROM splits CROSS JOIN (VALUES (1, 0.1::DOUBLE), (2, 0.5::DOUBLE), (3, 0.9::DOUBLE)) AS v(n, quantile)
-         WHERE date BETWEEN DATE '2001-04-09' AND DATE '2001-06-03' GROUP BY item_id, store_id, quantile, n)
+         WHERE split = 'train' GROUP BY item_id, store_id, quantile, n)
        SELECT cat_id, avg(loss) AS wql, count(*) AS n_quantiles FROM (
          SELECT cat_id, quantile, avg(greatest(quantile * (sales - yhat), (quantile - 1) * (sales - yhat))) AS loss
          FROM splits a JOIN q ON q.item_id = a.item_id AND q.store_id = a.store_id WHERE a.split = 'val' GROUP BY 1, 2)
@@ -176,9 +176,9 @@ QUANTILES = (0.1, 0.5, 0.9)
     six("wql"),
 )
 def metric_wql(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Quantile loss per category of the exact quantiles of the last 56 training days."""
-    recent = train(spark, sf_dir, 56).select(*KEYS, "date", "sales")
-    quantiles = forecast.quantile_forecast(recent, KEYS, "date", "sales", HORIZON, QUANTILES)
+    """Quantile loss per category of the exact quantiles of the whole training history."""
+    history = train(spark, sf_dir).select(*KEYS, "date", "sales")
+    quantiles = forecast.quantile_forecast(history, KEYS, "date", "sales", HORIZON, QUANTILES)
     rows = joins.align(quantiles, actuals(spark, sf_dir), DAY_KEYS)
     return evaluate.weighted_quantile_loss(rows, ["cat_id"])
 

@@ -54,14 +54,13 @@ def series(daily_facts: DataFrame) -> DataFrame:
 
 def dense_sales(daily_facts: DataFrame) -> DataFrame:
     """Sales of every series on every panel day."""
-    return reshape.densify(
-        daily_facts, series(daily_facts), KEYS, "date", retail.PANEL_START, retail.PANEL_END, {"sales": 0.0}
-    )
+    return reshape.densify(daily_facts, series(daily_facts), KEYS, "date", *retail.panel_days(daily_facts), {"sales": 0.0})
 
 
 def long_sales(daily_facts: DataFrame) -> DataFrame:
     """Dense sales labelled by day, as an unpivoted wide table would give them."""
-    return dense_sales(daily_facts).select(*IDS, retail.day_label_of("date").alias("d"), "sales")
+    first, _ = retail.panel_days(daily_facts)
+    return dense_sales(daily_facts).select(*IDS, retail.day_label_of("date", first).alias("d"), "sales")
 
 
 def build_silver(sales: DataFrame, calendar: DataFrame, prices: DataFrame) -> DataFrame:
@@ -74,7 +73,7 @@ def build_silver(sales: DataFrame, calendar: DataFrame, prices: DataFrame) -> Da
 
 def silver_plan(spark: SparkSession, sf_dir: str, by_brand: bool = False) -> DataFrame:
     facts = daily(spark, sf_dir, by_brand)
-    return build_silver(long_sales(facts), retail.calendar(spark), retail.prices(facts))
+    return build_silver(long_sales(facts), retail.calendar(spark, *retail.panel_days(facts)), retail.prices(facts))
 
 
 def silver(spark: SparkSession, sf_dir: str, by_brand: bool = False) -> DataFrame:
@@ -101,7 +100,7 @@ def gold_plan(silver_table: DataFrame) -> DataFrame:
     df = encodings.apply_event_codes(df, codes, EVENT, "event_name_encoded")
     df = features.add_calendar(window_features(df), "date")
     df = reshape.drop_incomplete(df, [f"lag_{max(features.LAGS)}"])
-    return reshape.temporal_split(df, "date", retail.TRAIN_END, retail.VAL_END, retail.PANEL_END)
+    return reshape.temporal_split(df, "date", retail.TRAIN_END, retail.VAL_END, retail.TEST_END)
 
 
 def gold(spark: SparkSession, sf_dir: str, by_brand: bool = False) -> DataFrame:

@@ -20,7 +20,6 @@ CTES: dict[str, tuple[tuple[str, ...], str]] = {
         JOIN supplier ON l_suppkey = s_suppkey
         JOIN nation ON s_nationkey = n_nationkey
         JOIN region ON n_regionkey = r_regionkey
-        WHERE l_shipdate >= TIMESTAMP '1995-01-02' AND l_shipdate < TIMESTAMP '2001-07-30'
         GROUP BY 1, 2, 3, 4""",
     ),
     "prices": (
@@ -31,9 +30,9 @@ CTES: dict[str, tuple[tuple[str, ...], str]] = {
         FROM daily GROUP BY 1, 2, 3""",
     ),
     "calendar": (
-        (),
+        ("daily",),
         """
-        SELECT 'd_' || CAST(i + 1 AS VARCHAR) AS d, date,
+        SELECT 'd_' || CAST(date - (SELECT min(date) FROM daily) + 1 AS VARCHAR) AS d, date,
                CAST(isoyear(date) * 100 + week(date) AS INTEGER) AS wm_yr_wk,
                dayname(date) AS weekday, CAST(dayofweek(date) + 1 AS INTEGER) AS wday,
                CAST(month(date) AS INTEGER) AS month, CAST(year(date) AS INTEGER) AS year,
@@ -44,7 +43,7 @@ CTES: dict[str, tuple[tuple[str, ...], str]] = {
                CAST(day(date) BETWEEN 1 AND 10 AS INTEGER) AS snap_A,
                CAST(day(date) BETWEEN 6 AND 15 AS INTEGER) AS snap_B,
                CAST(day(date) BETWEEN 11 AND 20 AS INTEGER) AS snap_C
-        FROM (SELECT i, DATE '1995-01-02' + CAST(i AS INTEGER) AS date FROM range(0, 2401) AS days(i))""",
+        FROM (SELECT CAST(unnest(generate_series(min(date), max(date), INTERVAL 1 DAY)) AS DATE) AS date FROM daily)""",
     ),
     "series": (
         ("daily",),
@@ -77,7 +76,7 @@ CTES: dict[str, tuple[tuple[str, ...], str]] = {
         """
         SELECT *, CASE WHEN date <= DATE '2001-06-03' THEN 'train' WHEN date <= DATE '2001-07-01' THEN 'val'
                        ELSE 'test' END AS split
-        FROM silver WHERE date >= DATE '1995-01-30'""",
+        FROM silver WHERE date >= (SELECT min(date) + 28 FROM daily) AND date <= DATE '2001-07-29'""",
     ),
     "lagged": (
         ("silver",),
@@ -143,7 +142,7 @@ CTES: dict[str, tuple[tuple[str, ...], str]] = {
         FROM rolled r
         JOIN priced q ON q.item_id = r.item_id AND q.store_id = r.store_id AND q.date = r.date
         JOIN normed z ON z.item_id = r.item_id AND z.store_id = r.store_id AND z.date = r.date
-        LEFT JOIN event_codes e ON e.event_name_1 = r.event_name_1) WHERE lag_28 IS NOT NULL""",
+        LEFT JOIN event_codes e ON e.event_name_1 = r.event_name_1) WHERE lag_28 IS NOT NULL AND date <= DATE '2001-07-29'""",
     ),
     # Three forecasts that SQL can make too: same weekday, mean of 28 days, last value.
     "forecasts": (
@@ -249,7 +248,7 @@ CTES: dict[str, tuple[tuple[str, ...], str]] = {
         SELECT item_id, store_id, date, sales, coalesce(lag_7, 0.0) AS lag_7, coalesce(sell_price, 0.0) AS sell_price,
                CAST(snap_A AS DOUBLE) AS snap_A,
                2.0 + 0.5 * coalesce(lag_7, 0.0) + -0.001 * coalesce(sell_price, 0.0) + 1.5 * snap_A AS raw
-        FROM lagged WHERE date > DATE '2001-07-01'""",
+        FROM lagged WHERE date > DATE '2001-07-01' AND date <= DATE '2001-07-29'""",
     ),
 }
 

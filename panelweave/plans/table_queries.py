@@ -82,6 +82,12 @@ def split_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("lines_covered", "SELECT CAST(count(*) AS BIGINT) AS n_lines, sum(l_quantity) AS units FROM lineitem")
+def lines_covered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What of the order lines is in the daily facts: all."""
+    return medallion.daily(spark, sf_dir).agg(F.sum("n_lines").alias("n_lines"), F.sum("sales").alias("units"))
+
+
 @query(
     "table_shapes",
     """SELECT 'daily' AS table_name, count(*) AS n_rows, CAST(7 AS INTEGER) AS n_columns FROM daily
@@ -95,7 +101,7 @@ def table_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
     named = {
         "daily": facts,
         "prices": retail.prices(facts),
-        "calendar": retail.calendar(spark),
+        "calendar": retail.calendar(spark, *retail.panel_days(facts)),
         "silver": medallion.silver(spark, sf_dir),
     }
     shapes = [tables.table_shape(df, name) for name, df in named.items()]
@@ -104,19 +110,18 @@ def table_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ---- reshaping and selection
 
-WIDE_START = retail.PANEL_END - dt.timedelta(days=27)
-WIDE_DAYS = [f"d_{(WIDE_START - retail.PANEL_START).days + 1 + i}" for i in range(28)]
-
-
 def wide_sales(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The last 28 days of the panel as one column per day."""
-    recent = medallion.silver(spark, sf_dir).filter(F.col("date") >= F.lit(WIDE_START))
-    return reshape.pivot_days(recent, IDS, WIDE_DAYS)
+    """All days of the panel, one column per day, written as a table as they would arrive."""
+    silver = medallion.silver(spark, sf_dir)
+    first, last = retail.panel_days(medallion.daily(spark, sf_dir))
+    path = fresh_path(spark, "wide")
+    tables.write_table(reshape.pivot_days(silver, IDS, [f"d_{i + 1}" for i in range((last - first).days + 1)]), path)
+    return tables.read_table(spark, path)
 
 
 @query(
     "unpivot_sales",
-    "SELECT item_id, dept_id, cat_id, store_id, state_id, d, sales FROM panel WHERE date >= DATE '2001-07-02'",
+    "SELECT item_id, dept_id, cat_id, store_id, state_id, d, sales FROM panel",
     ("panel",),
 )
 def unpivot_sales(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -322,7 +327,8 @@ CALENDAR = "wm_yr_wk, weekday, wday, month, year, event_name_1, event_type_1, sn
     ("panel", "calendar"),
 )
 def join_calendar(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return joins.join_calendar(medallion.long_sales(medallion.daily(spark, sf_dir)), retail.calendar(spark))
+    facts = medallion.daily(spark, sf_dir)
+    return joins.join_calendar(medallion.long_sales(facts), retail.calendar(spark, *retail.panel_days(facts)))
 
 
 @query("join_prices", "SELECT store_id, item_id, wm_yr_wk, date, sales, sell_price FROM silver", ("silver",))
@@ -355,26 +361,26 @@ def union_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
     "common_series",
     """SELECT item_id, store_id FROM daily WHERE date <= DATE '2001-06-03'
        INTERSECT SELECT item_id, store_id FROM daily WHERE date > DATE '2001-06-03' AND date <= DATE '2001-07-01'
-       INTERSECT SELECT item_id, store_id FROM daily WHERE date > DATE '2001-07-01'""",
+       INTERSECT SELECT item_id, store_id FROM daily WHERE date > DATE '2001-07-01' AND date <= DATE '2001-07-29'""",
     ("daily",),
 )
 def common_series(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Series that sold something in each of the three periods."""
     facts = medallion.daily(spark, sf_dir)
-    labelled = reshape.temporal_split(facts, "date", retail.TRAIN_END, retail.VAL_END, retail.PANEL_END)
+    labelled = reshape.temporal_split(facts, "date", retail.TRAIN_END, retail.VAL_END, retail.TEST_END)
     return reshape.common_series([labelled.filter(F.col("split") == s) for s in ("train", "val", "test")], KEYS)
 
 
 @query(
     "missing_future",
-    """SELECT s.item_id, s.store_id, c.date AS ds FROM series s CROSS JOIN calendar c WHERE c.date > DATE '2001-07-01'
+    """SELECT s.item_id, s.store_id, c.date AS ds FROM series s CROSS JOIN calendar c WHERE c.date > DATE '2001-07-01' AND c.date <= DATE '2001-07-29'
        EXCEPT SELECT item_id, store_id, date FROM daily""",
     ("series", "calendar", "daily"),
 )
 def missing_future(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Test days that a series should have and the sparse facts do not supply."""
     facts = medallion.daily(spark, sf_dir)
-    expected = medallion.silver(spark, sf_dir).filter(F.col("date") > F.lit(retail.VAL_END))
+    expected = medallion.silver(spark, sf_dir).filter((F.col("date") > F.lit(retail.VAL_END)) & (F.col("date") <= F.lit(retail.TEST_END)))
     return joins.missing_rows(
         expected.withColumnRenamed("date", "ds"), facts.withColumnRenamed("date", "ds"), [*KEYS, "ds"]
     )

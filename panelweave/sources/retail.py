@@ -1,7 +1,8 @@
 """Adapter: an order-line star schema as a retail panel.
 
 Items are part types, stores are the supplier's nations, states its regions. The panel
-runs over fixed days; a calendar and a weekly price table go with it.
+runs from the first to the last day of the facts; a calendar and a weekly price table go
+with it.
 """
 
 from __future__ import annotations
@@ -18,11 +19,10 @@ KEYS = ["item_id", "store_id"]
 IDS = ["item_id", "dept_id", "cat_id", "store_id", "state_id"]
 SNAPS = ["snap_A", "snap_B", "snap_C"]
 
-# Panel days and the last day of each split.
-PANEL_START = dt.date(1995, 1, 2)
+# The last day of each split. Later days belong to the panel and to no split.
 TRAIN_END = dt.date(2001, 6, 3)
 VAL_END = dt.date(2001, 7, 1)
-PANEL_END = dt.date(2001, 7, 29)
+TEST_END = dt.date(2001, 7, 29)
 HORIZON = 28
 
 # Category and department of each part type.
@@ -64,18 +64,22 @@ def _lookup(mapping: dict[str, str], key: Column) -> Column:
 
 
 def with_hierarchy(df: DataFrame) -> DataFrame:
-    """Add department and category, both decided by the type that an item id starts with."""
+    """Add department and category, both decided by the type that an item id starts with. A type
+    without a fixed place is its own department in the category OTHER."""
     kind = F.split("item_id", "_")[0]
     return df.withColumns(
-        {"dept_id": _lookup(DEPARTMENT_OF_TYPE, kind), "cat_id": _lookup(CATEGORY_OF_TYPE, kind)}
+        {
+            "dept_id": F.coalesce(_lookup(DEPARTMENT_OF_TYPE, kind), kind),
+            "cat_id": F.coalesce(_lookup(CATEGORY_OF_TYPE, kind), F.lit("OTHER")),
+        }
     )
 
 
 def daily_sales(spark: SparkSession, sf_dir: str, by_brand: bool = False) -> DataFrame:
     """Units, unit prices in whole cents and line count by item, store and day of sale.
 
-    One pass over the order lines: date range and columns reach the scan, and the sums are
-    combined before the shuffle, so a heavy item or store costs its days, not its lines.
+    One pass over all order lines, of which the needed columns are read; the sums are combined
+    before the shuffle, so a heavy item or store costs its days, not its lines.
     """
     lines = raw(spark, sf_dir, "lineitem").select(
         "l_partkey",
@@ -83,8 +87,6 @@ def daily_sales(spark: SparkSession, sf_dir: str, by_brand: bool = False) -> Dat
         F.col("l_shipdate").alias("shipped"),
         F.col("l_quantity").alias("units"),
         F.round(F.col("l_extendedprice") * 100 / F.col("l_quantity")).cast("bigint").alias("unit_cents"),
-    ).filter(
-        (F.col("shipped") >= F.lit(PANEL_START)) & (F.col("shipped") < F.lit(PANEL_END + dt.timedelta(days=1)))
     )
     item = F.concat_ws("_", "p_type", "p_brand") if by_brand else F.col("p_type")
     parts = raw(spark, sf_dir, "part").select("p_partkey", item.alias("item_id"))
@@ -114,7 +116,13 @@ def prices(daily: DataFrame) -> DataFrame:
     )
 
 
-def calendar(spark: SparkSession, start: dt.date = PANEL_START, end: dt.date = PANEL_END) -> DataFrame:
+def panel_days(daily: DataFrame) -> tuple[dt.date, dt.date]:
+    """First and last day of the facts: one aggregate, two dates. One day if there are none."""
+    first, last = daily.agg(F.min("date"), F.max("date")).first()
+    return (first, last) if first else (TRAIN_END, TRAIN_END)
+
+
+def calendar(spark: SparkSession, start: dt.date, end: dt.date) -> DataFrame:
     """One row per day."""
     month_day = F.date_format("date", "MM-dd")
     name = _lookup({k: v[0] for k, v in EVENTS.items()}, month_day)
@@ -141,7 +149,7 @@ def day_label(n: Column) -> Column:
     return F.concat(F.lit("d_"), n.cast("string"))
 
 
-def day_label_of(date: Column | str, start: dt.date = PANEL_START) -> Column:
+def day_label_of(date: Column | str, start: dt.date) -> Column:
     return day_label(F.datediff(date, F.lit(start)) + 1)
 
 

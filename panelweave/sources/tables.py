@@ -54,10 +54,9 @@ def write_clustered(
 
 
 def bucket_count(spark: SparkSession) -> int:
-    """As many buckets as shuffle partitions, but no more than four waves of tasks."""
-    waves = 4 * spark.sparkContext.defaultParallelism
-    setting = spark.conf.get("spark.sql.shuffle.partitions")
-    return min(int(setting), waves) if setting.isdigit() else waves
+    """As many buckets as shuffle partitions: the setting that is fitted to the data, not to the
+    cores that happen to be there."""
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
 def save_series_table(

@@ -27,6 +27,19 @@ def test_seasonal_naive_on_a_sparse_series(spark):
     assert got == {14: 7.0, 15: 1.0, 16: 9.0, 17: 10.0, 18: 11.0, 19: 12.0, 20: 13.0, 21: 7.0, 22: 1.0, 23: 9.0}
 
 
+def test_seasonal_naive_covers_the_horizon_whatever_is_missing(spark):
+    h = history(spark, [(0, 1), (3, 4), (5, None)]).unionByName(history(spark, [(2, None)], "empty"))
+    got = forecast.seasonal_naive(h, ["k"], "date", "v", 8).orderBy("ds").collect()
+    assert [r.ds for r in got] == [day(6 + i) for i in range(8)]
+    assert [r.yhat for r in got] == [2.5, 1.0, 2.5, 2.5, 4.0, 2.5, 2.5, 2.5]
+
+
+def test_regression_leaves_out_missing_values(spark):
+    values = [(i, 5.0 + i if i != 9 else None) for i in range(20)]
+    got = forecast.seasonal_regression(history(spark, values), ["k"], "date", "v", 2, ridge=1e-6).orderBy("ds").collect()
+    assert {r.status for r in got} == {"ok"} and got[0].yhat == pytest.approx(25.0, abs=0.5)
+
+
 def test_seasonal_naive_scores_about_one_on_train(spark):
     rng = np.random.default_rng(5)
     values = rng.normal(20, 4, 400)
@@ -87,6 +100,25 @@ def test_decomposition_adds_up(spark):
     assert max(range(7), key=lambda i: got[i].seasonal) == 5
 
 
+def test_decomposition_keeps_the_clock_over_a_gap(spark):
+    values = [(i, 10.0 + 4 * (i % 4 == 1)) for i in range(80) if i not in (22, 23, 41)]
+    got = forecast.decompose(history(spark, values), ["k"], "date", "v", period=4).collect()
+    inner = [r for r in got if 4 <= (r.date - D0).days < 16]
+    assert all(r.trend == pytest.approx(11.0) and r.residual == pytest.approx(0, abs=0.3) for r in inner)
+    top = {(r.date - D0).days % 4 for r in got if r.seasonal > 1}
+    assert top == {1}
+
+
+def test_scoring_loses_no_row(spark):
+    df = spark.createDataFrame([(float(i), float(2 * i), i > 40) for i in range(60)], "a double, y double, newest boolean")
+    rows = df.select("a").unionByName(spark.createDataFrame([(None,)], "a double"))
+    trees = models.fit_trees(df, ["a"], "y", F.col("newest"), rounds=5, depth=2)
+    line = models.fit_linear(df, ["a"], "y")
+    assert models.predict(trees, rows).count() == 61
+    got = models.predict(line, rows).filter("a IS NULL").collect()
+    assert len(got) == 1 and got[0].yhat == pytest.approx(0, abs=1e-6)
+
+
 def test_trees_predict_and_rank(spark):
     rng = np.random.default_rng(4)
     x = rng.uniform(0, 10, (600, 2))
