@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import bisect
 import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -26,9 +25,10 @@ _PLACE = np.uint64((1 << 28) - 1)
 class Shape:
     """How suffixes are picked for matches of ``length`` bytes.
 
-    Of every ``window`` suffixes in a row the one with the least gram hash is indexed, by its
-    first ``head`` bytes. window - 1 + head = length, so two equal strings of ``length`` bytes
-    hold an indexed suffix at the same place, whole head included, wherever they stand.
+    Of every ``window`` suffixes in a row the one with the least gram hash is indexed (the
+    leftmost among ties), by its first ``head`` bytes. Since window - 1 + head is at most
+    ``length``, two equal strings of ``length`` bytes find the same suffix in their first window,
+    whole head included, wherever they stand.
     """
 
     length: int
@@ -39,24 +39,23 @@ class Shape:
 
     @property
     def window(self) -> int:
-        return self.length - self.head + 1
+        return max(1, self.length * 27 // 100)
 
 
 def picked(data: np.ndarray, offsets: np.ndarray, shape: Shape) -> tuple[np.ndarray, ...]:
-    """Text, place, segment end and text size of each indexed suffix, in text order.
-
-    The indexed places and 0 cut the places where a string of ``length`` bytes can begin into
-    segments; a suffix after the last such place has segment end 0.
-    """
+    """The segments of all texts long enough, in text order: text, first place, one past the last
+    place where a string of ``length`` bytes can begin, and place of the suffix. A segment is a
+    run of places whose windows pick the same suffix; towards the end of a text are segments
+    where no such string begins (their end is their first place)."""
     sizes = np.diff(offsets)
-    room = np.maximum(sizes - shape.length + 1, 0)
+    room = np.where(sizes >= shape.length, sizes - shape.window - shape.head + 2, 0)
     total = int(room.sum())
     if not total:
         return tuple(np.zeros(0, np.int64) for _ in range(4))
     text = np.repeat(np.arange(len(sizes)), room)
     begin = np.arange(total) - np.repeat(np.cumsum(room) - room, room) + offsets[text]
     hashes = gram_hashes(data, GRAM)
-    least = (hashes & ~_PLACE) | np.arange(len(hashes), dtype=np.uint64)  # leftmost among ties
+    least = (hashes & ~_PLACE) | np.arange(len(hashes), dtype=np.uint64)
     reach = 1
     while reach * 2 <= shape.window:
         least = np.minimum(least[:-reach], least[reach:])
@@ -67,40 +66,37 @@ def picked(data: np.ndarray, offsets: np.ndarray, shape: Shape) -> tuple[np.ndar
     at = (least[begin] & _PLACE).astype(np.int64)
     new = np.ones(total, bool)
     new[1:] = (at[1:] != at[:-1]) | (text[1:] != text[:-1])
-    text, place = text[new], at[new] - offsets[text[new]]
-    have = np.flatnonzero(room)
-    text = np.concatenate([text, have])  # every text also has its beginning
-    place = np.concatenate([place, np.zeros(len(have), np.int64)])
-    both = np.unique(text * (1 << 40) + place)
-    text, place = both >> 40, both & ((1 << 40) - 1)
-    last = room[text]  # one past the last place where a string can begin
-    follows = np.append(np.where(text[1:] == text[:-1], place[1:], 1 << 40), 1 << 40)
-    end = np.where(place < last, np.minimum(follows, last), 0)
-    return text, place, end, sizes[text]
+    first = np.flatnonzero(new)
+    last = np.append(first[1:], total) - 1
+    base = offsets[text[first]]
+    start = begin[first] - base
+    end = np.maximum(np.minimum(begin[last] + 1 - base, sizes[text[first]] - shape.length + 1), start)
+    return text[first], start, end, at[first] - base
 
 
 def suffixes(docs: DataFrame, shape: Shape, batches: int) -> DataFrame:
-    """The indexed suffixes of all texts: id and text checksum, place, hash of the head, end of
-    the segment that begins there, hash of all strings that begin in it, size of the text."""
+    """The indexed suffixes of all texts: id and checksum of the text, hash of the head, the
+    segment that picks the suffix, and the hash of all strings that begin in it."""
     rows = docs.select("_id", "_crc", "text", F.pmod(F.xxhash64("_id", "_crc"), F.lit(batches)).cast("int").alias("batch"))
-    names = ["_id", "_crc", "batch", "place", "head", "end", "whole", "size"]
+    names = ["_id", "_crc", "batch", "head", "begin", "end", "whole"]
 
     def index(blocks_of) -> Iterator[pa.RecordBatch]:
+        digest = xxhash.xxh3_64_intdigest
         for batch in blocks(blocks_of):
             data, offsets = utf8(batch.column("text"))
-            text, place, end, size = picked(data, offsets, shape)
+            text, begin, end, place = picked(data, offsets, shape)
             if not len(text):
                 continue
-            view, first = memoryview(np.ascontiguousarray(data)), (offsets[text] + place).tolist()
-            digest, head, last = xxhash.xxh3_64_intdigest, shape.head, (offsets[text] + end + shape.length - 1).tolist()
-            heads = np.array([digest(view[a : a + head]) for a in first], np.uint64).view(np.int64)
-            wholes = np.array([digest(view[a:b], 1) if e else 0 for a, b, e in zip(first, last, end.tolist())], np.uint64).view(np.int64)
+            view, base = memoryview(np.ascontiguousarray(data)), offsets[text]
+            heads = np.array([digest(view[a : a + shape.head]) for a in (base + place).tolist()], np.uint64).view(np.int64)
+            runs = zip((base + begin).tolist(), (base + end + shape.length - 1).tolist(), (end > begin).tolist())
+            wholes = np.array([digest(view[a:b], 1) if some else 0 for a, b, some in runs], np.uint64).view(np.int64)
             taken = pa.array(text)
             yield pa.RecordBatch.from_arrays(
-                [*(batch.column(c).take(taken) for c in ("_id", "_crc", "batch")), pa.array(place), pa.array(heads), pa.array(end), pa.array(wholes), pa.array(size)], names=names
+                [*(batch.column(c).take(taken) for c in ("_id", "_crc", "batch")), pa.array(heads), pa.array(begin, pa.int32()), pa.array(end, pa.int32()), pa.array(wholes)], names=names
             )
 
-    return rows.mapInArrow(index, "_id bigint, _crc bigint, batch int, place bigint, head bigint, end bigint, whole bigint, size bigint")
+    return rows.mapInArrow(index, "_id bigint, _crc bigint, batch int, head bigint, begin int, end int, whole bigint")
 
 
 @dataclass
@@ -134,12 +130,6 @@ class SuffixLevels:
         return found
 
 
-def _inside(begins: list[int], runs: list[tuple[int, int]], a: int, b: int) -> bool:
-    """Whether places a..b (inclusive) all lie in one of the sorted, joined runs."""
-    i = bisect.bisect_right(begins, a) - 1
-    return i >= 0 and b < runs[i][1]
-
-
 def _joined(runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     out: list[tuple[int, int]] = []
     for a, b in sorted(runs):
@@ -160,19 +150,21 @@ def cut_repeats(docs: DataFrame, length: int, batches: int = BATCHES, keep_text:
     included, are repeats of each other.
 
     1. The documents come in ``batches`` to the index family, which returns all repeated heads.
+       A string of ``length`` bytes can only be repeated where the head of its segment is.
     2. A segment whose strings as a whole stand elsewhere is repeated throughout: counted by
        hash, one row per segment, however many copies there are.
-    3. Around repeated heads some places are left: the ends of repeats. Their strings are
-       counted by a 128-bit hash each, together with those of one copy of each repeated segment
-       that shares a head with them. No pair of places is ever formed.
+    3. Other segments with a repeated head hold the ends of repeats. Their strings are counted
+       by a 128-bit hash each, together with those of one copy of each repeated segment that has
+       the same head; a string that runs over a head that is not repeated needs no count. No
+       pair of places is ever formed.
     """
     shape = Shape(length)
-    spark = docs.sparkSession
     made = ("n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text")
     stay = [c for c in docs.columns if c not in made and (keep_text or c == "doc_id")]
     # keys without nulls: a null id has its own checksum range
     crc = F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")) + F.when(F.col("doc_id").isNull(), F.lit(1 << 33)).otherwise(F.lit(0))
     keyed = docs.select(*stay, *([] if "text" in stay else ["text"]), F.coalesce(F.col("doc_id").cast("bigint"), F.lit(0)).alias("_id"), F.coalesce(crc, F.lit(0)).cast("bigint").alias("_crc"))
+    keys = ["_id", "_crc"]
 
     table = settled(suffixes(keyed, shape, batches), "suffixes")
     family, found = SuffixLevels(), []
@@ -182,68 +174,46 @@ def cut_repeats(docs: DataFrame, length: int, batches: int = BATCHES, keep_text:
     for f in found[1:]:
         heads = heads.unionByName(f)
     suspects = table.drop("batch").join(heads.distinct(), "head", "left_semi")
-
-    segments = suspects.filter("end > 0").groupBy("head", "whole").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("_id", "_crc", "place")).alias("one"))
-    repeated = segments.filter("copies > 1").drop("copies")
-    marked = settled(
-        suspects.join(repeated, ["head", "whole"], "left").select(
-            "_id", "_crc", "place", "head", "end", "size",
-            (F.col("one").isNotNull() & (F.col("end") > 0)).alias("repeated"),
-            F.coalesce(F.col("one") == F.struct("_id", "_crc", "place"), F.lit(False)).alias("chosen"),
-        ),
-        "suspects",
-    )
-
-    def open_heads(batches_of) -> Iterator[pa.RecordBatch]:
-        for batch in batches_of:
-            out: set[int] = set()
-            for size, marks in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                runs = _joined([(m["place"], m["end"]) for m in marks if m["repeated"]])
-                begins = [a for a, _ in runs]
-                for m in marks:
-                    a, b = max(0, m["place"] - shape.window + 1), min(m["place"], size - length)
-                    if not _inside(begins, runs, a, b):
-                        out.add(m["head"])
-            yield pa.RecordBatch.from_arrays([pa.array(sorted(out), pa.int64())], names=["head"])
-
-    by_text = marked.groupBy("_id", "_crc").agg(F.first("size").alias("size"), F.collect_list(F.struct("place", "head", "end", "repeated")).alias("marks"))
-    opened = by_text.select("size", "marks").mapInArrow(open_heads, "head bigint").distinct().withColumn("open", F.lit(True))
-    marks = settled(
-        marked.join(opened, "head", "left")
-        .select("_id", "_crc", "place", "end", "repeated", "chosen", F.coalesce("open", F.lit(False)).alias("open"))
-        .filter("repeated OR open"),
-        "marks",
-    )
-    per_text = marks.groupBy("_id", "_crc").agg(F.collect_list(F.struct("place", "end", "repeated", "chosen", "open")).alias("marks"))
+    one = F.struct("_id", "_crc", "begin")
+    repeated = suspects.filter("end > begin").groupBy("head", "whole").agg(F.count(F.lit(1)).alias("copies"), F.min(one).alias("one")).filter("copies > 1").drop("copies")
+    marked = suspects.join(repeated, ["head", "whole"], "left").select(
+        *keys, "head", "begin", "end", (F.col("one").isNotNull() & (F.col("end") > F.col("begin"))).alias("repeated"), F.coalesce(F.col("one") == one, F.lit(False)).alias("chosen")
+    )
+    marked = settled(marked, "suspects")
+    opened = marked.filter("NOT repeated AND end > begin").select("head").distinct().withColumn("open", F.lit(True))
+    marks = settled(marked.join(opened, "head", "left").select(*keys, "begin", "end", "repeated", (F.col("open").isNotNull() & (~F.col("repeated") | F.col("chosen"))).alias("open")), "marks")
+    per_text = marks.groupBy(*keys).agg(F.collect_list(F.struct("begin", "end", "open")).alias("marks"))
 
     def edge_strings(batches_of) -> Iterator[pa.RecordBatch]:
-        names = ["_id", "_crc", "place", "h1", "h2"]
+        names, digest = ["_id", "_crc", "begin", "h1", "h2"], xxhash.xxh3_128_digest
         for batch in batches_of:
             for doc_id, check, text, marks_of in zip(*(batch.column(c).to_pylist() for c in ("_id", "_crc", "text", "marks"))):
                 if not any(m["open"] for m in marks_of):
                     continue
                 raw = text.encode()
+                data = np.frombuffer(raw, np.uint8)
                 wanted = np.zeros(len(raw) - length + 1, bool)
                 for m in marks_of:
                     if m["open"]:
-                        wanted[max(0, m["place"] - shape.window + 1) : m["place"] + 1] = True
-                for m in marks_of:
-                    if m["repeated"] and not m["chosen"]:
-                        wanted[m["place"] : m["end"]] = False
-                places, view, digest = np.flatnonzero(wanted), memoryview(raw), xxhash.xxh3_128_digest
-                for i in range(0, len(places), 50_000):
-                    part = places[i : i + 50_000]
+                        wanted[m["begin"] : m["end"]] = True
+                suspect = {m["begin"] for m in marks_of}
+                begins = picked(data, np.array([0, len(raw)]), shape)[1].tolist()
+                for a, b in zip(begins, [*begins[1:], len(raw)]):
+                    if a not in suspect:  # no string that holds one of its windows, head included, is repeated
+                        wanted[max(0, a + shape.window - 1 + shape.head - length) : b] = False
+                at, view = np.flatnonzero(wanted), memoryview(raw)
+                for i in range(0, len(at), 50_000):
+                    part = at[i : i + 50_000]
                     hashes = np.frombuffer(b"".join([digest(view[a : a + length]) for a in part.tolist()]), "<i8").reshape(-1, 2)
-                    columns = [pa.array(np.full(len(part), doc_id)), pa.array(np.full(len(part), check)), pa.array(part), pa.array(hashes[:, 0].copy()), pa.array(hashes[:, 1].copy())]
+                    columns = [pa.array(np.full(len(part), doc_id)), pa.array(np.full(len(part), check)), pa.array(part, pa.int32()), pa.array(hashes[:, 0].copy()), pa.array(hashes[:, 1].copy())]
                     yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    keys = ["_id", "_crc"]
-    texts = keyed.join(per_text, keys)
-    edges = settled(texts.select(*keys, "text", "marks").mapInArrow(edge_strings, "_id bigint, _crc bigint, place bigint, h1 bigint, h2 bigint"), "edges")
+    edges = keyed.join(per_text, keys).select(*keys, "text", "marks").mapInArrow(edge_strings, "_id bigint, _crc bigint, begin int, h1 bigint, h2 bigint")
+    edges = settled(edges, "edges")
     twice = edges.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("h1", "h2")
-    at_edges = edges.join(twice, ["h1", "h2"], "left_semi").select(*keys, F.col("place"), (F.col("place") + 1).alias("end"))
-    cuts = marks.filter("repeated").select(*keys, "place", "end").unionByName(at_edges)
-    per_text_cuts = settled(cuts.groupBy(*keys).agg(F.collect_list(F.struct("place", "end")).alias("_cuts")), "cuts")
+    at_edges = edges.join(twice, ["h1", "h2"], "left_semi").select(*keys, "begin", (F.col("begin") + 1).alias("end"))
+    cuts = marks.filter("repeated").select(*keys, "begin", "end").unionByName(at_edges)
+    per_text_cuts = settled(cuts.groupBy(*keys).agg(F.collect_list(F.struct("begin", "end")).alias("_cuts")), "cuts")
 
     schema = ", ".join(
         [f"`{f.name}` {f.dataType.simpleString()}" for f in keyed.select(*stay).schema]
@@ -255,7 +225,7 @@ def cut_repeats(docs: DataFrame, length: int, batches: int = BATCHES, keep_text:
             out: list[tuple] = []
             for text, cuts_of in zip(batch.column("text").to_pylist(), batch.column("_cuts").to_pylist()):
                 raw = (text or "").encode()
-                runs = _joined([(c["place"], c["end"] - 1 + length) for c in cuts_of or ()])
+                runs = _joined([(c["begin"], c["end"] - 1 + length) for c in cuts_of or ()])
                 kept, at = [], 0
                 for a, b in runs:
                     kept.append(raw[at:a])
