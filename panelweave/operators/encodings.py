@@ -22,14 +22,14 @@ class TargetEncoding:
 def fit_target_encoding(train: DataFrame, columns: Sequence[str], target: str, weight: float = 0.0) -> TargetEncoding:
     """Mean target per value of each column, pulled to the global mean by ``weight`` rows.
 
-    All columns are aggregated in one pass over the training rows (grouping sets).
+    One pass sums the training rows by all columns together; the grouping sets then run over
+    those few sums, so no row is expanded.
     """
     level = F.grouping_id()
     sets = [[c] for c in columns] + [[]]
+    together = train.groupBy(*columns).agg(F.sum(target).alias("_sum"), F.count(target).alias("_n"))
     totals = measured(
-        train.groupingSets(sets, *columns).agg(
-            level.alias("_level"), F.sum(target).alias("_sum"), F.count(target).alias("_n")
-        )
+        together.groupingSets(sets, *columns).agg(level.alias("_level"), F.sum("_sum").alias("_sum"), F.sum("_n").alias("_n"))
     )
     # One row: the empty grouping set.
     whole = totals.filter(F.col("_level") == 2 ** len(columns) - 1).select("_sum", "_n").first()

@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelweave.functions.columns import EPSILON, epoch_millis_minute
@@ -60,9 +60,8 @@ def best_model(board: DataFrame) -> DataFrame:
 
 def latest_run(runs: DataFrame, pattern: str) -> DataFrame:
     """Newest run whose name matches a LIKE pattern."""
-    newest = Window.partitionBy(F.lit(pattern)).orderBy(F.col("start_millis").desc(), "run_id")
-    names = runs.filter(F.col("run_name").like(pattern)).select("run_id", "run_name", "status", "start_millis").distinct()
-    return names.withColumn("_n", F.row_number().over(newest)).filter(F.col("_n") == 1).drop("_n")
+    names = runs.filter(F.col("run_name").like(pattern)).select("run_id", "run_name", "status", "start_millis")
+    return names.orderBy(F.col("start_millis").desc(), "run_id").limit(1)
 
 
 def normalised(board: DataFrame, metrics: Sequence[str] = tuple(METRIC_NAMES)) -> DataFrame:

@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
+import itertools
 import warnings
 from collections.abc import Sequence
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressor, LinearRegression, LinearRegressionModel
-from pyspark.ml.tuning import ParamGridBuilder, TrainValidationSplit
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -79,24 +78,18 @@ def importances(model: PipelineModel, features: Sequence[str]) -> DataFrame:
 
 
 def tune_trees(
-    train: DataFrame, features: Sequence[str], target: str, depths: Sequence[int], rates: Sequence[float], rounds: int, parallelism: int = 2
+    train: DataFrame, validation: DataFrame, features: Sequence[str], target: str, depths: Sequence[int], rates: Sequence[float], rounds: int
 ) -> DataFrame:
-    """Score every candidate of a small grid on held-out rows, best first."""
+    """Score every candidate of a small grid, best first: fitted on complete training rows, judged
+    by its rmse on all validation rows, which should be later ones."""
     rows = train.select(*features, F.col(target).cast("double").alias("label")).dropna()
-    data = _assembler(features).transform(rows).select("features", "label").persist()
-    trees = GBTRegressor(maxIter=rounds, subsamplingRate=ROW_SHARE, seed=42)
-    grid = ParamGridBuilder().addGrid(trees.maxDepth, list(depths)).addGrid(trees.stepSize, list(rates)).build()
-    search = TrainValidationSplit(
-        estimator=trees,
-        estimatorParamMaps=grid,
-        evaluator=RegressionEvaluator(metricName="rmse"),
-        trainRatio=0.9,
-        parallelism=parallelism,
-        seed=42,
-    )
-    scores = search.fit(data).validationMetrics
-    data.unpersist()
-    table = [(p[trees.maxDepth], p[trees.stepSize], float(s)) for p, s in zip(grid, scores)]
+    later = validation.select(*features, F.col(target).cast("double").alias("label")).filter("label IS NOT NULL")
+    table = []
+    for depth, rate in itertools.product(depths, rates):
+        trees = GBTRegressor(maxIter=rounds, maxDepth=depth, stepSize=rate, subsamplingRate=ROW_SHARE, featureSubsetStrategy=FEATURE_SHARE, seed=42)
+        model = Pipeline(stages=[_assembler(features), trees]).fit(rows)
+        error = F.sqrt(F.avg(F.pow(F.col("yhat") - F.col("label"), 2)))
+        table.append((depth, rate, predict(model, later).agg(error).first()[0]))
     return train.sparkSession.createDataFrame(table, "max_depth int, step_size double, validation_rmse double").orderBy(
         "validation_rmse", "max_depth", "step_size"
     )

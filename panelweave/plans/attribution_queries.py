@@ -12,6 +12,7 @@ from panelweave.plans.forecast_queries import (
     LINEAR_INTERCEPT,
     LINEAR_WEIGHTS,
     TREE_FEATURES,
+    model_rows,
     test_rows,
     train,
     tree_scorer,
@@ -171,14 +172,20 @@ def scenario_sweep_linear(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ---- the same on fitted models
 
-REGRESSION_FEATURES = ["lag_7", "lag_28", "roll_mean_28", "is_weekend", "snap_A"]
+REGRESSION_FEATURES = TREE_FEATURES
+
+_regression: dict[tuple[str, str], tuple[dict[str, float], float]] = {}
 
 
 def fitted_contributions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Contributions of a linear regression over all series."""
-    model = models.fit_linear(train(spark, sf_dir), REGRESSION_FEATURES, "sales")
-    weights, intercept = models.linear_weights(model, REGRESSION_FEATURES)
-    rows = test_rows(spark, sf_dir).select(*ROW, *[F.col(f).cast("double").alias(f) for f in REGRESSION_FEATURES])
+    """Contributions of a linear regression over all series and all model features, fitted once in
+    an application."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _regression:
+        model = models.fit_linear(model_rows(train(spark, sf_dir)), REGRESSION_FEATURES, "sales")
+        _regression[key] = models.linear_weights(model, REGRESSION_FEATURES)
+    weights, intercept = _regression[key]
+    rows = model_rows(test_rows(spark, sf_dir)).select(*ROW, *[F.col(f).cast("double").alias(f) for f in REGRESSION_FEATURES])
     return attribution.linear_contributions(rows, ROW, weights, intercept)
 
 
@@ -210,7 +217,7 @@ def tree_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("permutation_importance")
 def permutation_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return attribution.permutation_importance(
-        tree_rows(spark, sf_dir), ROW, ["lag_7", "roll_mean_28", "sell_price"], "sales", tree_scorer(spark, sf_dir)
+        tree_rows(spark, sf_dir), ROW, TREE_FEATURES, "sales", tree_scorer(spark, sf_dir)
     )
 
 

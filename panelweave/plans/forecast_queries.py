@@ -205,9 +205,12 @@ def top_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("tune_gbt")
 def tune_gbt(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Four candidates on the lag and calendar features of the training rows."""
-    wanted = [*medallion.LAG_COLUMNS, "roll_mean_28", "day_of_week", *SNAPS]
-    return models.tune_trees(train(spark, sf_dir), wanted, "sales", depths=(2, 4), rates=(0.1, 0.3), rounds=3)
+    """Four candidates on all model features: fitted on the training days, judged on the later
+    validation days."""
+    val = medallion.gold(spark, sf_dir).filter(F.col("split") == "val")
+    return models.tune_trees(
+        model_rows(train(spark, sf_dir)), model_rows(val), TREE_FEATURES, "sales", depths=(2, 4), rates=(0.1, 0.3), rounds=5
+    )
 
 
 # ---- forecast requests

@@ -129,7 +129,7 @@ def test_trees_predict_and_rank(spark):
     assert top.feature == "a" and top.importance > 0.9
     scored = models.predict(model, df)
     assert "features" not in scored.columns and scored.agg(F.min("yhat")).first()[0] >= 0
-    grid = models.tune_trees(df, ["a", "b"], "target", (1, 3), (0.3,), 3).collect()
+    grid = models.tune_trees(df, df, ["a", "b"], "target", (1, 3), (0.3,), 3).collect()
     assert [r.max_depth for r in grid] == [3, 1]
 
 
