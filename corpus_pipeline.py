@@ -1,8 +1,8 @@
 """A training-data pipeline over the documents table, from raw texts to token ids.
 
-Each stage takes (spark, docs, sf_dir) and returns a DataFrame; it is written as Parquet to the
-shared folder and read again before the next one begins, so a lost executor costs a part of one
-stage.
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; it is written as Parquet and read
+again before the next one begins, so a lost executor costs a part of one stage. A stage that
+begins therefore removes the tables that the one before left for its own result.
 """
 
 from __future__ import annotations
@@ -11,19 +11,30 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelweave.llm import dart_minhash, quality, semantic_leaks, sentencepiece_codec, suffix_levels
-from panelweave.llm.corpus import settled, table
+from panelweave.llm.corpus import discard, settled, table
 from panelweave.llm.queries import tokenizer_model
 
 REPEATED_BYTES = 200  # a passage of fifty words is longer
 
+_left: list[DataFrame] = []
+
+
+def _sweep() -> None:
+    discard(*_left)
+    _left.clear()
+
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Reject what does not resemble the labelled good documents."""
-    return quality.importance_sample(docs, table(spark, sf_dir, "labels")).filter("keep").select(*docs.columns)
+    _left.clear()  # of a run that ended early
+    sampled = quality.importance_sample(docs, table(spark, sf_dir, "labels"))
+    _left.append(sampled)
+    return sampled.filter("keep").select(*docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near-duplicates."""
+    _sweep()
     return dart_minhash.one_of_each(docs)
 
 
@@ -39,8 +50,10 @@ def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents that hold a benchmark item. Rows are told apart by id and text."""
     row = F.xxhash64("doc_id", "text")
-    found = semantic_leaks.leaks(docs.select(row.alias("doc_id"), "text"), table(spark, sf_dir, "benchmark"))
+    words = settled(semantic_leaks.tokenised(docs.select(row.alias("doc_id"), "text")), "words")
+    found = semantic_leaks.leaks(docs, table(spark, sf_dir, "benchmark"), tokens=words)
     leaking = settled(found.select(F.col("doc_id").alias("_row")).distinct(), "leaking")
+    discard(words)
     return docs.join(leaking, row == F.col("_row"), "left_anti")
 
 

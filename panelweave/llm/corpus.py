@@ -22,6 +22,17 @@ def settled(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(*frames: DataFrame) -> None:
+    """Remove the files of settled tables that nothing will read again: what was made from them
+    is settled itself."""
+    for frame in frames:
+        folders = {f.rsplit("/", 1)[0] for f in frame.inputFiles()}
+        jvm, conf = frame.sparkSession._jvm, frame.sparkSession._jsparkSession.sessionState().newHadoopConf()
+        for folder in folders:
+            path = jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(conf).delete(path, True)
+
+
 def id_crc(column: str = "doc_id") -> Column:
     """CRC-32 of the id as decimal text; a null id counts as an empty text."""
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary"))

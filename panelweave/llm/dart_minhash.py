@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelweave.llm.corpus import settled
+from panelweave.llm.corpus import discard, settled
 from panelweave.llm.graph import components
 from panelweave.llm.texts import blocks, mix, occurrences, runs_within, shingles, utf8, words
 
@@ -196,9 +196,11 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY, size: int = SHINGLE
         & (different <= MOST_DIFFERENT)
     )
     more = a.join(b, condition).select(F.col("a_node").alias("a"), F.col("b_node").alias("b")).distinct()
-    second = settled(_verified(settled(more, "pairs"), sets, similarity), "links")
+    pairs = settled(more, "pairs")
+    second = settled(_verified(pairs, sets, similarity), "links")
     links = first.unionByName(second)
     final = components(links) if not second.isEmpty() else label
+    discard(signs, buckets, crowded, stars, sets, rest, facts, pairs, first, second)
     named = nodes.join(final, "node", "left").select("key", F.coalesce("label", "node").cast("string").alias("class"))
     lone = F.concat(F.lit("null "), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
     return ids.join(named, "key", "left").select("doc_id", "key", F.coalesce("class", lone).alias("class"))

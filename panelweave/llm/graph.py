@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelweave.llm.corpus import settled
+from panelweave.llm.corpus import discard, settled
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -25,4 +25,5 @@ def components(links: DataFrame) -> DataFrame:
         step = settled(hooked.join(jump, F.col("new") == F.col("_n")).select("node", F.least("new", "_l").alias("label"), "old"), "labels")
         labels = step.select("node", "label")
         if step.filter("label <> old").isEmpty():
+            discard(both)
             return labels

@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelweave.llm.corpus import settled
+from panelweave.llm.corpus import discard, settled
 from panelweave.llm.fingerprints import gram_hashes
 from panelweave.llm.texts import blocks, utf8
 
@@ -113,6 +113,11 @@ class SuffixLevels:
 
     levels: dict[int, DataFrame] = field(default_factory=dict)
 
+    def discard(self) -> None:
+        """Remove the files of all levels."""
+        discard(*self.levels.values())
+        self.levels = {}
+
     def add(self, batch: DataFrame) -> DataFrame:
         """Index a batch (column ``head``). Returns the heads that it repeats, in itself or from
         earlier batches, one row each."""
@@ -123,8 +128,10 @@ class SuffixLevels:
         found = settled(found.distinct(), "suffix-matches")
         rank = 0
         while rank in self.levels:
-            both = array.unionByName(self.levels.pop(rank))
-            array = settled(both.groupBy("head").agg(F.sum("n").alias("n")).sortWithinPartitions("head"), "suffix-level")
+            level = self.levels.pop(rank)
+            merged = settled(array.unionByName(level).groupBy("head").agg(F.sum("n").alias("n")).sortWithinPartitions("head"), "suffix-level")
+            discard(array, level)
+            array = merged
             rank += 1
         self.levels[rank] = array
         return found
@@ -180,6 +187,8 @@ def cut_repeats(docs: DataFrame, length: int, batches: int = BATCHES, keep_text:
         *keys, "head", "begin", "end", (F.col("one").isNotNull() & (F.col("end") > F.col("begin"))).alias("repeated"), F.coalesce(F.col("one") == one, F.lit(False)).alias("chosen")
     )
     marked = settled(marked, "suspects")
+    discard(table)
+    family.discard()
     opened = marked.filter("NOT repeated AND end > begin").select("head").distinct().withColumn("open", F.lit(True))
     marks = settled(marked.join(opened, "head", "left").select(*keys, "begin", "end", "repeated", (F.col("open").isNotNull() & (~F.col("repeated") | F.col("chosen"))).alias("open")), "marks")
     per_text = marks.groupBy(*keys).agg(F.collect_list(F.struct("begin", "end", "open")).alias("marks"))
@@ -214,6 +223,7 @@ def cut_repeats(docs: DataFrame, length: int, batches: int = BATCHES, keep_text:
     at_edges = edges.join(twice, ["h1", "h2"], "left_semi").select(*keys, "begin", (F.col("begin") + 1).alias("end"))
     cuts = marks.filter("repeated").select(*keys, "begin", "end").unionByName(at_edges)
     per_text_cuts = settled(cuts.groupBy(*keys).agg(F.collect_list(F.struct("begin", "end")).alias("_cuts")), "cuts")
+    discard(marked, marks, edges, *found)
 
     schema = ", ".join(
         [f"`{f.name}` {f.dataType.simpleString()}" for f in keyed.select(*stay).schema]
