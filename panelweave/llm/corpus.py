@@ -24,13 +24,16 @@ def settled(df: DataFrame, name: str) -> DataFrame:
 
 def discard(*frames: DataFrame) -> None:
     """Remove the files of settled tables that nothing will read again: what was made from them
-    is settled itself."""
+    is settled itself. The driver's JVM is asked to collect its garbage, since shuffle files of
+    finished jobs stay on the executors' disks until it does."""
     for frame in frames:
         folders = {f.rsplit("/", 1)[0] for f in frame.inputFiles()}
         jvm, conf = frame.sparkSession._jvm, frame.sparkSession._jsparkSession.sessionState().newHadoopConf()
         for folder in folders:
             path = jvm.org.apache.hadoop.fs.Path(folder)
             path.getFileSystem(conf).delete(path, True)
+    if frames:
+        frames[0].sparkSession._jvm.System.gc()
 
 
 def id_crc(column: str = "doc_id") -> Column:

@@ -18,6 +18,7 @@ from panelweave.llm.texts import blocks, utf8
 
 GRAM = 16  # bytes whose hash picks the indexed suffixes
 BATCHES = 4
+WINDOW = 108  # suffixes of which one is indexed: about one in 54
 _PLACE = np.uint64((1 << 28) - 1)
 
 
@@ -39,7 +40,7 @@ class Shape:
 
     @property
     def window(self) -> int:
-        return max(1, self.length * 27 // 100)
+        return min(self.length - self.head + 1, WINDOW)
 
 
 def picked(data: np.ndarray, offsets: np.ndarray, shape: Shape) -> tuple[np.ndarray, ...]:
@@ -191,6 +192,7 @@ def cut_repeats(docs: DataFrame, length: int, batches: int = BATCHES, keep_text:
     family.discard()
     opened = marked.filter("NOT repeated AND end > begin").select("head").distinct().withColumn("open", F.lit(True))
     marks = settled(marked.join(opened, "head", "left").select(*keys, "begin", "end", "repeated", (F.col("open").isNotNull() & (~F.col("repeated") | F.col("chosen"))).alias("open")), "marks")
+    discard(marked)
     per_text = marks.groupBy(*keys).agg(F.collect_list(F.struct("begin", "end", "open")).alias("marks"))
 
     def edge_strings(batches_of) -> Iterator[pa.RecordBatch]:
@@ -219,11 +221,12 @@ def cut_repeats(docs: DataFrame, length: int, batches: int = BATCHES, keep_text:
 
     edges = keyed.join(per_text, keys).select(*keys, "text", "marks").mapInArrow(edge_strings, "_id bigint, _crc bigint, begin int, h1 bigint, h2 bigint")
     edges = settled(edges, "edges")
+    discard(*found)
     twice = edges.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("h1", "h2")
     at_edges = edges.join(twice, ["h1", "h2"], "left_semi").select(*keys, "begin", (F.col("begin") + 1).alias("end"))
     cuts = marks.filter("repeated").select(*keys, "begin", "end").unionByName(at_edges)
     per_text_cuts = settled(cuts.groupBy(*keys).agg(F.collect_list(F.struct("begin", "end")).alias("_cuts")), "cuts")
-    discard(marked, marks, edges, *found)
+    discard(marks, edges)
 
     schema = ", ".join(
         [f"`{f.name}` {f.dataType.simpleString()}" for f in keyed.select(*stay).schema]
