@@ -17,13 +17,14 @@ TERMS = 1 << 15  # buckets of hashed words
 RANK = 80
 PASSAGE = 32  # words
 STRIDE = 16  # words between passages: a run of STRIDE + 1 words lies whole in one of them
-QUERY_STRIDE = 8
+QUERY_STRIDE = 16
 COSINE = 0.44  # for a full passage; less for shorter items, which share their passage with other text
 WHOLE_MATCH = 0.8  # share of an item's words, in order, that settles a leak by itself
 PARAPHRASE = 0.5  # share that does with the answer
 ANSWER = 4  # closing words of an item
 RUNS_TOGETHER = 1 << 10  # runs of words projected at a time, so that their rows stay in cache
 CHUNKS = 64
+SLOTS = 1 << 12  # of the table that tells which words stand around a passage
 PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[]^_`{|}~"
 
 
@@ -259,6 +260,12 @@ def _search(tokens: DataFrame, space: LatentSpace, items: list[tuple[int, str]],
     query = np.array(queries, np.float32).reshape(len(of), space.projection.shape[1])
     query /= np.maximum(np.linalg.norm(query, axis=1, keepdims=True), 1e-9)
     of_item, spelled = np.array(of, np.int64), [h.tolist() for _, h in hashed]
+    longest = max(map(len, spelled), default=0)
+    reach = np.arange(-longest, PASSAGE + longest)
+    item_sizes = np.array([len(x) for x in spelled], np.int64)
+    item_slots = np.full((len(spelled), longest), SLOTS, np.int64)
+    for k, (_, h) in enumerate(hashed):
+        item_slots[k, : len(h)] = h & np.uint32(SLOTS - 1)
 
     def search(batches) -> Iterator[pa.RecordBatch]:
         names = ["doc_id", "item_id", "cosine", "lcs_share", "answer_found"]
@@ -268,21 +275,35 @@ def _search(tokens: DataFrame, space: LatentSpace, items: list[tuple[int, str]],
             rows = p.rows(space.projection, space.weights)
             rows /= np.maximum(np.linalg.norm(rows, axis=1, keepdims=True), 1e-9)
             ends = np.cumsum(p.sizes)
+            begins = p.begins[p.first]
+            lows, highs = (ends - p.sizes)[p.owner[p.first]], ends[p.owner[p.first]]
             best: dict[tuple[int, int], float] = {}
             for a in range(0, len(rows), 1024):
                 near = rows[a : a + 1024] @ query.T
                 at, which = np.nonzero(near >= least)
-                for i, k, c in zip((at + a).tolist(), of_item[which].tolist(), near[at, which].tolist()):
-                    if c > best.get((i, k), 0.0):
-                        best[i, k] = c
+                if not len(at):
+                    continue
+                met, which_met = np.unique(at, return_inverse=True)
+                around = (begins[a + met])[:, None] + reach
+                outside = (around < lows[a + met][:, None]) | (around >= highs[a + met][:, None])
+                slots = (p.hashes[np.where(outside, 0, around)] & np.uint32(SLOTS - 1)).astype(np.int64)
+                slots[outside] = SLOTS
+                there = np.zeros((len(met), SLOTS + 1), np.uint8)
+                there[np.arange(len(met))[:, None], slots] = 1
+                there[:, SLOTS] = 0
+                for b in range(0, len(at), 4096):
+                    # item words that stand around the passage: no common subsequence is longer
+                    item = of_item[which[b : b + 4096]]
+                    hits = there[which_met[b : b + 4096][:, None], item_slots[item]].sum(axis=1, dtype=np.int64)
+                    good = np.flatnonzero(hits >= PARAPHRASE * item_sizes[item]) + b
+                    for i, k, c in zip((at[good] + a).tolist(), of_item[which[good]].tolist(), near[at[good], which[good]].tolist()):
+                        if c > best.get((i, k), 0.0):
+                            best[i, k] = c
             out, ids = [], batch.column("doc_id").to_pylist()
             for (i, k), score in best.items():
                 text, item, begin = p.owner[p.first[i]], spelled[k], p.begins[p.first[i]]
                 low = ends[text] - p.sizes[text]
                 around = p.hashes[max(low, begin - len(item)) : min(ends[text], begin + PASSAGE + len(item))].tolist()
-                there = set(around)
-                if sum(w in there for w in item) < PARAPHRASE * len(item):  # no common subsequence is longer
-                    continue
                 share = lcs_length(item, around) / len(item)
                 if share < PARAPHRASE:
                     continue
