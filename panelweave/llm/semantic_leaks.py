@@ -11,13 +11,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from panelweave.llm.corpus import settled
-from panelweave.llm.texts import blocks, runs_within, utf8, words
+from panelweave.llm.texts import blocks, mix, runs_within, utf8, words
 
 TERMS = 1 << 15  # buckets of hashed words
 RANK = 80
 PASSAGE = 32  # words
 STRIDE = 16  # words between passages: a run of STRIDE + 1 words lies whole in one of them
-QUERY_STRIDE = 16
+QUERY_STRIDE = 8
 COSINE = 0.44  # for a full passage; less for shorter items, which share their passage with other text
 WHOLE_MATCH = 0.8  # share of an item's words, in order, that settles a leak by itself
 PARAPHRASE = 0.5  # share that does with the answer
@@ -214,13 +214,74 @@ def lcs_length(pattern: list[int], text: list[int]) -> int:
     return row.bit_count()
 
 
+class Certain:
+    """Words that a passage cannot lack where an item is accepted, looked up exactly.
+
+    WHOLE_MATCH of an item's words leaves few of its words out, so of its rarest words, one more
+    than those, at least one stands there; by PARAPHRASE its closing words stand there in a row.
+    So these two kinds of runs of words lead to every accepted pair, whatever its cosine.
+    """
+
+    def __init__(self, spelled: list[np.ndarray], weights: np.ndarray) -> None:
+        self.sizes = np.array([len(x) for x in spelled], np.int64)
+        listed: dict[int, dict[bytes, list[int]]] = {}
+        for k, x in enumerate(spelled):
+            need = next(n for n in range(len(x) + 1) if n / len(x) >= WHOLE_MATCH)
+            rarest = np.argsort(-weights[x >> np.uint32(32 - 15)], kind="stable")[: len(x) - need + 1]
+            for run in {x[-ANSWER:].tobytes(), *(x[j : j + 1].tobytes() for j in rarest)}:
+                listed.setdefault(len(run) // 4, {}).setdefault(run, []).append(k)
+        self.tables = []
+        for size, runs in listed.items():
+            keys = self.keys(np.frombuffer(b"".join(runs), np.uint32).reshape(-1, size))
+            order = np.argsort(keys, kind="stable")
+            owned = list(runs.values())
+            slots = np.zeros(1 << 16, bool)
+            slots[np.frombuffer(b"".join(runs), np.uint32)[::size] & np.uint32(0xFFFF)] = True
+            counts = np.array([len(owned[i]) for i in order], np.int64)
+            self.tables.append((size, slots, keys[order], np.cumsum(counts) - counts, counts, np.array([k for i in order for k in owned[i]], np.int64)))
+
+    @staticmethod
+    def keys(runs: np.ndarray) -> np.ndarray:
+        """One number for each run of words; equal runs have equal numbers."""
+        total = np.zeros(len(runs), np.uint64)
+        for j in range(runs.shape[1]):
+            total = mix(total + runs[:, j].astype(np.uint64))
+        return total
+
+    def mark(self, want: np.ndarray, hashes: np.ndarray, begins: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> None:
+        """Set ``want`` (passage, item) where such a run stands among the words that are compared
+        with the item. ``begins`` are of neighbouring passages, in order; ``starts`` and ``ends``
+        bound the texts."""
+        longest = int(self.sizes.max(initial=0))
+        low, high = max(0, begins[0] - longest), min(len(hashes), begins[-1] + PASSAGE + longest)
+        for size, slots, keys, offsets, counts, owned in self.tables:
+            at = np.flatnonzero(slots[hashes[low:high] & np.uint32(0xFFFF)]) + low
+            text = np.searchsorted(ends, at, side="right")
+            whole = at + size <= ends[text]
+            at, text = at[whole], text[whole]
+            met = self.keys(hashes[at[:, None] + np.arange(size)])
+            key = np.minimum(np.searchsorted(keys, met), len(keys) - 1)
+            same = keys[key] == met
+            at, text, key = at[same], text[same], key[same]
+            for a in range(0, len(at), 256):
+                n = counts[key[a : a + 256]]
+                of = np.repeat(np.arange(a, a + len(n)), n)
+                item = owned[np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n) + offsets[key[of]]]
+                first = np.searchsorted(begins, np.maximum(at[of] + size - PASSAGE - self.sizes[item], starts[text[of]]))
+                last = np.searchsorted(begins, np.minimum(at[of] + self.sizes[item], ends[text[of]] - 1), side="right")
+                reached = np.maximum(last - first, 0)
+                passage = np.arange(reached.sum()) - np.repeat(np.cumsum(reached) - reached, reached) + np.repeat(first, reached)
+                want[passage, np.repeat(item, reached)] = True
+
+
 def leaks(docs: DataFrame, items: DataFrame, rank: int = RANK, cosine: float = COSINE, tokens: DataFrame | None = None) -> DataFrame:
     """Documents that hold a benchmark item or a paraphrase of it.
 
     Latent coordinates are those of the randomised SVD of all passages, divided by its values. Every passage
     (PASSAGE words, every STRIDE) of every whole text is compared, in blocks, with the passages
     of the items; pairs whose cosine reaches ``cosine`` (times the square root of the share of a
-    passage that a shorter item fills) are candidates. For these the longest
+    passage that a shorter item fills) are candidates, and so are, whatever their cosine, all pairs
+    that the rule below can accept (see ``Certain``). For these the longest
     common subsequence of the item's words and the words around the passage is taken: from
     WHOLE_MATCH of the item's words it is a leak, from PARAPHRASE only if the item's closing
     ANSWER words stand there in a row.
@@ -248,6 +309,7 @@ def leaks(docs: DataFrame, items: DataFrame, rank: int = RANK, cosine: float = C
 def _search(tokens: DataFrame, space: LatentSpace, items: list[tuple[int, str]], cosine: float) -> DataFrame:
     hashed = [(i, (words(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t.encode())]))[0] >> np.uint64(32)).astype(np.uint32)) for i, t in items]
     hashed = [(i, h) for i, h in hashed if len(h)]
+    certain = Certain([h for _, h in hashed], space.weights)
     queries, of, marks = [], [], []
     for k, (_, h) in enumerate(hashed):
         last = max(len(h) - PASSAGE, 0)
@@ -260,6 +322,7 @@ def _search(tokens: DataFrame, space: LatentSpace, items: list[tuple[int, str]],
     query = np.array(queries, np.float32).reshape(len(of), space.projection.shape[1])
     query /= np.maximum(np.linalg.norm(query, axis=1, keepdims=True), 1e-9)
     of_item, spelled = np.array(of, np.int64), [h.tolist() for _, h in hashed]
+    first_query = np.searchsorted(of_item, np.arange(len(spelled) + 1)).tolist()
     longest = max(map(len, spelled), default=0)
     reach = np.arange(-longest, PASSAGE + longest)
     item_sizes = np.array([len(x) for x in spelled], np.int64)
@@ -280,7 +343,11 @@ def _search(tokens: DataFrame, space: LatentSpace, items: list[tuple[int, str]],
             best: dict[tuple[int, int], float] = {}
             for a in range(0, len(rows), 1024):
                 near = rows[a : a + 1024] @ query.T
-                at, which = np.nonzero(near >= least)
+                want = np.zeros((len(near), len(spelled)), bool)
+                close, which = np.nonzero(near >= least)
+                want[close, of_item[which]] = True
+                certain.mark(want, p.hashes, begins[a : a + 1024], ends - p.sizes, ends)
+                at, items_at = np.nonzero(want)
                 if not len(at):
                     continue
                 met, which_met = np.unique(at, return_inverse=True)
@@ -293,12 +360,11 @@ def _search(tokens: DataFrame, space: LatentSpace, items: list[tuple[int, str]],
                 there[:, SLOTS] = 0
                 for b in range(0, len(at), 4096):
                     # item words that stand around the passage: no common subsequence is longer
-                    item = of_item[which[b : b + 4096]]
+                    item = items_at[b : b + 4096]
                     hits = there[which_met[b : b + 4096][:, None], item_slots[item]].sum(axis=1, dtype=np.int64)
                     good = np.flatnonzero(hits >= PARAPHRASE * item_sizes[item]) + b
-                    for i, k, c in zip((at[good] + a).tolist(), of_item[which[good]].tolist(), near[at[good], which[good]].tolist()):
-                        if c > best.get((i, k), 0.0):
-                            best[i, k] = c
+                    for i, k in zip(at[good].tolist(), items_at[good].tolist()):
+                        best[a + i, k] = float(near[i, first_query[k] : first_query[k + 1]].max())
             out, ids = [], batch.column("doc_id").to_pylist()
             for (i, k), score in best.items():
                 text, item, begin = p.owner[p.first[i]], spelled[k], p.begins[p.first[i]]

@@ -51,6 +51,43 @@ def test_leaks_are_found_and_clean_documents_left_alone(spark):
     assert semantic_leaks.leaks(df, bench.limit(0), rank=8).count() == 0
 
 
+def test_every_pair_that_the_rule_accepts_is_found(spark):
+    """By share of kept words, against the longest common subsequence with all passages."""
+    rng = random.Random(9)
+    vocabulary = [f"w{i}" for i in range(3000)]
+    prose = lambda n: [vocabulary[min(int(rng.expovariate(1 / 200)), 2999)] for _ in range(n)]
+    items = {i: prose(rng.randint(15, 60)) for i in range(20)} | {20: prose(3), 21: prose(1)}
+    texts, planted = {}, {}
+    for i, kept in enumerate([1.0, 0.9, 0.8, 0.7, 0.65, 0.6, 0.55, 0.5, 0.45] * 10):
+        item = list(items[i % 20])
+        for j in rng.sample(range(len(item) - 4), min(len(item) - 4, round((1 - kept) * len(item)))):
+            item[j] = f"x{rng.randint(0, 10**6)}"
+        words = prose(rng.randint(30, 120))
+        at = rng.randint(0, len(words))
+        words[at:at] = item
+        texts[i], planted[i] = words, (kept, i % 20)
+    want = set()
+    for i, t in texts.items():
+        for k, item in items.items():
+            tails = [j for j in range(len(t)) if t[j : j + len(item[-4:])] == item[-4:]]
+            for b in range(0, max(1, 16 * (-(-len(t) // 16) - 1)), 16):
+                low, high = max(0, b - len(item)), b + 32 + len(item)
+                share = semantic_leaks.lcs_length(item, t[low:high]) / len(item)
+                answer = any(low <= j <= high - len(item[-4:]) for j in tails)
+                if share >= 0.8 or (share >= 0.5 and answer):
+                    want.add((i, k))
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in texts.items()], "doc_id bigint, text string")
+    bench = spark.createDataFrame([(k, " ".join(t)) for k, t in items.items()], "item_id bigint, text string")
+    rows = semantic_leaks.leaks(docs, bench).collect()
+    got = {(r["doc_id"], r["item_id"]) for r in rows}
+    missed = {}
+    for i, (kept, k) in planted.items():
+        if (i, k) in want - got:
+            missed[kept] = missed.get(kept, 0) + 1
+    assert not missed and got == want and len(want) > 60
+    assert len(rows) == len(got) and any(r["cosine"] < semantic_leaks.COSINE / 2 for r in rows)
+
+
 def test_licence_families(spark):
     rng = random.Random(6)
     prose = lambda: " ".join(rng.choice("the of and land sea river stone wind tree light".split()) for _ in range(12)) + "."
