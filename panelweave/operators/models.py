@@ -78,15 +78,26 @@ def importances(model: PipelineModel, features: Sequence[str]) -> DataFrame:
 
 
 def tune_trees(
-    train: DataFrame, validation: DataFrame, features: Sequence[str], target: str, depths: Sequence[int], rates: Sequence[float], rounds: int
+    train: DataFrame,
+    validation: DataFrame,
+    features: Sequence[str],
+    target: str,
+    depths: Sequence[int],
+    rates: Sequence[float],
+    rounds: int = ROUNDS,
+    is_validation: Column | None = None,
 ) -> DataFrame:
     """Score every candidate of a small grid, best first: fitted on complete training rows, judged
-    by its rmse on all validation rows, which should be later ones."""
-    rows = train.select(*features, F.col(target).cast("double").alias("label")).dropna()
+    by its rmse on all validation rows, which should be later ones. With ``is_validation`` each
+    candidate stops early once the training rows so marked (the newest days) get worse."""
+    marked = [] if is_validation is None else [is_validation.alias("held_out")]
+    rows = train.select(*features, F.col(target).cast("double").alias("label"), *marked).dropna()
     later = validation.select(*features, F.col(target).cast("double").alias("label")).filter("label IS NOT NULL")
     table = []
     for depth, rate in itertools.product(depths, rates):
         trees = GBTRegressor(maxIter=rounds, maxDepth=depth, stepSize=rate, subsamplingRate=ROW_SHARE, featureSubsetStrategy=FEATURE_SHARE, seed=42)
+        if marked:
+            trees.setParams(validationIndicatorCol="held_out", validationTol=0.0)
         model = Pipeline(stages=[_assembler(features), trees]).fit(rows)
         error = F.sqrt(F.avg(F.pow(F.col("yhat") - F.col("label"), 2)))
         table.append((depth, rate, predict(model, later).agg(error).first()[0]))

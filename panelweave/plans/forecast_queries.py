@@ -5,7 +5,7 @@ from __future__ import annotations
 import datetime as dt
 
 from pyspark.ml import PipelineModel
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelweave.functions.columns import hash_order, series_id
@@ -160,11 +160,15 @@ TREE_FEATURES = [
     "te_dept_id",
     "te_store_id",
 ]
-TREE_ROUNDS = 30  # of the 500 that the operator has by default, for time
 
 _fitted: dict[tuple[str, str], str] = {}
 
 
+def newest() -> Column:
+    """The training rows that stop boosting when they get worse."""
+    return F.col("date") > F.lit(retail.TRAIN_END - dt.timedelta(days=HORIZON))
+
+
 def model_rows(df: DataFrame) -> DataFrame:
     """Model features of all rows; a missing price reads as 0."""
     return df.fillna(0.0, subset=["sell_price", "price_pct_change"])
@@ -174,9 +178,8 @@ def trees(spark: SparkSession, sf_dir: str) -> PipelineModel:
     """The boosted trees of this application, fitted once and kept in the shared folder."""
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _fitted:
-        newest = F.col("date") > F.lit(retail.TRAIN_END - dt.timedelta(days=HORIZON))
         path = fresh_path(spark, "trees")
-        models.fit_trees(model_rows(train(spark, sf_dir)), TREE_FEATURES, "sales", newest, TREE_ROUNDS).write().save(path)
+        models.fit_trees(model_rows(train(spark, sf_dir)), TREE_FEATURES, "sales", newest()).write().save(path)
         _fitted[key] = path
     return PipelineModel.load(_fitted[key])
 
@@ -205,11 +208,11 @@ def top_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("tune_gbt")
 def tune_gbt(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Four candidates on all model features: fitted on the training days, judged on the later
-    validation days."""
+    """Four candidates on all model features: fitted on the training days until the newest of them
+    get worse, judged on the later validation days."""
     val = medallion.gold(spark, sf_dir).filter(F.col("split") == "val")
     return models.tune_trees(
-        model_rows(train(spark, sf_dir)), model_rows(val), TREE_FEATURES, "sales", depths=(2, 4), rates=(0.1, 0.3), rounds=5
+        model_rows(train(spark, sf_dir)), model_rows(val), TREE_FEATURES, "sales", depths=(2, 4), rates=(0.1, 0.3), is_validation=newest()
     )
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from panelweave.operators import evaluate, forecast, models, requests
 from panelweave.operators.attribution import linear_score
+from panelweave.plans import forecast_queries
 
 D0 = dt.date(2016, 1, 1)
 
@@ -157,3 +158,22 @@ def test_requests(spark):
         ("r5", "bad_horizon", 0, None),
         ("r6", "unknown_series", 0, None),
     ]
+
+
+def test_registered_trees_have_all_rounds_and_an_early_stop(spark, sf_dir, monkeypatch):
+    made = []
+    for fit in (forecast_queries.trees, forecast_queries.tune_gbt):
+
+        class Stop(Exception):
+            pass
+
+        def record(self, rows):
+            stage = self.getStages()[-1]
+            made.append((stage.getMaxIter(), stage.getValidationIndicatorCol(), rows.filter(stage.getValidationIndicatorCol()).count()))
+            raise Stop
+
+        monkeypatch.setattr(models.Pipeline, "fit", record)
+        monkeypatch.setattr(forecast_queries, "_fitted", {})
+        with pytest.raises(Stop):
+            fit(spark, sf_dir)
+    assert [m[:2] for m in made] == [(500, "held_out")] * 2 and all(m[2] > 0 for m in made)
