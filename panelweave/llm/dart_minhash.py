@@ -18,8 +18,9 @@ SIMILARITY = 0.8
 BANDS, ROWS = 32, 5  # a pair at similarity 0.8 shares no band with probability (1 - 0.8^5)^32 = 3e-6
 SKETCH = 10  # longs of 16 nibbles: four bits of each signature coordinate
 # Bound on disagreeing nibbles of a pair at the similarity threshold: 160 coordinates differ with
-# probability (1 - 0.8) * 15/16, mean 30, deviation 4.9; four and a half deviations above are 52.
-MOST_DIFFERENT = 52
+# probability (1 - 0.8) * 15/16, mean 30, deviation 4.9; six deviations above are 60, which a pair
+# passes with probability 8e-9, far less than the bands lose.
+MOST_DIFFERENT = 60
 _POISSON = np.cumsum([np.exp(-1.0) / f for f in (1, 1, 2, 6, 24, 120, 720, 5040, 40320, 362880, 3628800)])
 
 
@@ -131,7 +132,7 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY, size: int = SHINGLE
       large bucket has do not count.
 
     Both bounds are conditions of the join, so what is discarded is never a row, and neither
-    loses a pair but by the sketch's four and a half deviations. All remaining pairs are verified exactly.
+    loses a pair but by the sketch's six deviations. All remaining pairs are verified exactly.
 
     Returns doc_id, key (MD5 of the text, null for null) and class (a name) of each row. A text
     without a word is only near its equals; null texts stand alone, but for rows that share an

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import math
 import random
 from collections import Counter
 
 import numpy as np
 import pyarrow as pa
 
+from panelweave.llm import dart_minhash
 from panelweave.llm.dart_minhash import dart_signatures, near_duplicates, weighted_elements
 
 
@@ -104,3 +106,9 @@ def test_large_family_and_empty_table(spark):
         least.setdefault(want[t], i)
     assert got == {i: least[want[t]] for i, t in rows}
     assert near_duplicates(df.limit(0)).count() == 0
+
+
+def test_the_sketch_loses_far_less_than_the_bands():
+    n, p = dart_minhash.BANDS * dart_minhash.ROWS, (1 - dart_minhash.SIMILARITY) * 15 / 16
+    beyond = sum(math.comb(n, i) * p**i * (1 - p) ** (n - i) for i in range(dart_minhash.MOST_DIFFERENT + 1, n + 1))
+    assert beyond < 0.01 * (1 - dart_minhash.SIMILARITY**dart_minhash.ROWS) ** dart_minhash.BANDS
