@@ -6,7 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from panelweave.llm import dart_minhash, fingerprints, language, lattice_lm, licences, quality, semantic_leaks, sentencepiece_codec, sharding, suffix_levels
+from panelweave.llm import (
+    dart_minhash,
+    filter_audit,
+    fingerprints,
+    language,
+    lattice_lm,
+    licences,
+    merkle,
+    quality,
+    semantic_leaks,
+    sentencepiece_codec,
+    sharding,
+    suffix_levels,
+)
 from panelweave.llm.corpus import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -90,3 +103,13 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_winnowing")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.edited_with_next(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@query("op12_merkle_manifest", merkle.oracle())
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest(table(spark, sf_dir, "documents"))
+
+
+@query("op13_filter_interactions", filter_audit.ORACLE)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
