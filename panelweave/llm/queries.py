@@ -13,6 +13,7 @@ from panelweave.llm import (
     language,
     lattice_lm,
     licences,
+    main_text,
     merkle,
     quality,
     semantic_leaks,
@@ -105,6 +106,11 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.edited_with_next(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+@query("op11_main_text")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_text.extract(table(spark, sf_dir, "pages"))
+
+
 @query("op12_merkle_manifest", merkle.oracle())
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.manifest(table(spark, sf_dir, "documents"))
