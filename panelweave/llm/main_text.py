@@ -145,7 +145,7 @@ def repeats(pages: pd.DataFrame, least: int) -> pd.DataFrame:
     if split.any():
         text_hash = np.zeros(len(number) + 1, np.uint64)
         text_hash[: len(number)] = [xxhash.xxh3_64_intdigest(t) for _, t in number]
-        hashes = text_hash[ids]
+        hashes = text_hash[np.maximum(ids, -1)]  # all separators are the last one, which no string reaches
         whole = (place + least <= lengths[page]) & split[page]  # a string that ends in its page
         sample = order[heads]
         told = np.flatnonzero(whole[sample])

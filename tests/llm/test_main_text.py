@@ -156,3 +156,12 @@ def test_every_page_of_the_table(spark, sf_dir):
     want = {i: " ".join(" ".join(html.unescape(t) for t in re.split(r"</?(?:p|h1|br|b)>", re.search("<article>(.*)</article>", x, re.S)[1])).split()) for i, x in pages}
     got = QUERIES["op11_main_text"](spark, sf_dir).collect()
     assert {r["page_id"]: r["text"] for r in got} == want and all(r["n_chars"] == len(r["text"]) for r in got)
+
+
+def test_more_pages_than_words(spark):
+    """A large host of which all pages say the same in a few words."""
+    pages = [(i, f"http://a.org/{i}", f"<div>one two three four five six seven eight</div><p>p{i % 3} {'x ' * (i % 50)}") for i in range(300)]
+    df = spark.createDataFrame([(*p, *["x"] * 4) for p in pages], SCHEMA)
+    got = {r["page_id"]: r["text"] for r in main_text.extract(df, 8, 500).collect()}
+    want = expected(pages, 8)
+    assert all(got[i] == want["a.org", x] for i, _, x in pages)
