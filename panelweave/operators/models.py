@@ -2,29 +2,15 @@
 
 from __future__ import annotations
 
-import itertools
-import warnings
 from collections.abc import Sequence
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import GBTRegressor, LinearRegression, LinearRegressionModel
+from pyspark.ml.regression import LinearRegression, LinearRegressionModel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelweave.functions.columns import non_negative
-
-# Depth, learning rate and row share of the boosted trees.
-TREE_DEPTH = 6
-LEARNING_RATE = 0.05
-ROW_SHARE = 0.8
-FEATURE_SHARE = "0.8"
-ROUNDS = 500
-
-
-def _assembler(features: Sequence[str]) -> VectorAssembler:
-    """Missing values are kept, so that scoring loses no row; fitting drops them before."""
-    return VectorAssembler(inputCols=list(features), outputCol="features", handleInvalid="keep")
+from panelweave.operators.boosting import ROUNDS, TreeParams, assembler, boost
 
 
 def fit_trees(
@@ -33,29 +19,11 @@ def fit_trees(
     target: str,
     is_validation: Column,
     rounds: int = ROUNDS,
-    depth: int = TREE_DEPTH,
+    depth: int = TreeParams.depth,
     seed: int = 42,
 ) -> PipelineModel:
-    """Boosted trees on complete rows; boosting stops early once the rows marked
-    ``is_validation`` (the newest days) get worse. Warns when that leaves a single tree."""
-    rows = train.select(*features, F.col(target).cast("double").alias("label"), is_validation.alias("held_out")).dropna()
-    trees = GBTRegressor(
-        featuresCol="features",
-        labelCol="label",
-        predictionCol="prediction",
-        maxIter=rounds,
-        maxDepth=depth,
-        stepSize=LEARNING_RATE,
-        subsamplingRate=ROW_SHARE,
-        featureSubsetStrategy=FEATURE_SHARE,
-        validationIndicatorCol="held_out",
-        validationTol=0.0,
-        seed=seed,
-    )
-    model = Pipeline(stages=[_assembler(features), trees]).fit(rows)
-    if model.stages[-1].getNumTrees == 1 < rounds:
-        warnings.warn("boosting stopped after one tree", stacklevel=2)
-    return model
+    """Boosted trees on complete rows, cut at the best round of ``boosting.boost``."""
+    return boost(train, features, target, is_validation, rounds, params=TreeParams(depth=depth), seed=seed).model
 
 
 def predict(model: PipelineModel, rows: DataFrame, output: str = "yhat") -> DataFrame:
@@ -77,38 +45,9 @@ def importances(model: PipelineModel, features: Sequence[str]) -> DataFrame:
     return table.orderBy(F.desc("importance"), "feature")
 
 
-def tune_trees(
-    train: DataFrame,
-    validation: DataFrame,
-    features: Sequence[str],
-    target: str,
-    depths: Sequence[int],
-    rates: Sequence[float],
-    rounds: int = ROUNDS,
-    is_validation: Column | None = None,
-) -> DataFrame:
-    """Score every candidate of a small grid, best first: fitted on complete training rows, judged
-    by its rmse on all validation rows, which should be later ones. With ``is_validation`` each
-    candidate stops early once the training rows so marked (the newest days) get worse."""
-    marked = [] if is_validation is None else [is_validation.alias("held_out")]
-    rows = train.select(*features, F.col(target).cast("double").alias("label"), *marked).dropna()
-    later = validation.select(*features, F.col(target).cast("double").alias("label")).filter("label IS NOT NULL")
-    table = []
-    for depth, rate in itertools.product(depths, rates):
-        trees = GBTRegressor(maxIter=rounds, maxDepth=depth, stepSize=rate, subsamplingRate=ROW_SHARE, featureSubsetStrategy=FEATURE_SHARE, seed=42)
-        if marked:
-            trees.setParams(validationIndicatorCol="held_out", validationTol=0.0)
-        model = Pipeline(stages=[_assembler(features), trees]).fit(rows)
-        error = F.sqrt(F.avg(F.pow(F.col("yhat") - F.col("label"), 2)))
-        table.append((depth, rate, predict(model, later).agg(error).first()[0]))
-    return train.sparkSession.createDataFrame(table, "max_depth int, step_size double, validation_rmse double").orderBy(
-        "validation_rmse", "max_depth", "step_size"
-    )
-
-
 def fit_linear(train: DataFrame, features: Sequence[str], target: str) -> PipelineModel:
     rows = train.select(*features, F.col(target).cast("double").alias("label")).dropna()
-    return Pipeline(stages=[_assembler(features), LinearRegression()]).fit(rows)
+    return Pipeline(stages=[assembler(features), LinearRegression()]).fit(rows)
 
 
 def linear_weights(model: PipelineModel, features: Sequence[str]) -> tuple[dict[str, float], float]:

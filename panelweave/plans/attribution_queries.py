@@ -6,13 +6,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelweave.functions.columns import non_negative
-from panelweave.operators import attribution, models, whatif
+from panelweave.operators import attribution, models, tree_attribution, whatif
 from panelweave.operators.whatif import Change, interpret
 from panelweave.plans.forecast_queries import (
     LINEAR_INTERCEPT,
     LINEAR_WEIGHTS,
     TREE_FEATURES,
     model_rows,
+    regression,
     test_rows,
     train,
     tree_scorer,
@@ -174,17 +175,10 @@ def scenario_sweep_linear(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 REGRESSION_FEATURES = TREE_FEATURES
 
-_regression: dict[tuple[str, str], tuple[dict[str, float], float]] = {}
-
 
 def fitted_contributions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Contributions of a linear regression over all series and all model features, fitted once in
-    an application."""
-    key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _regression:
-        model = models.fit_linear(model_rows(train(spark, sf_dir)), REGRESSION_FEATURES, "sales")
-        _regression[key] = models.linear_weights(model, REGRESSION_FEATURES)
-    weights, intercept = _regression[key]
+    """Contributions of the linear regression over all series and all model features."""
+    weights, intercept = regression(spark, sf_dir)
     rows = model_rows(test_rows(spark, sf_dir)).select(*ROW, *[F.col(f).cast("double").alias(f) for f in REGRESSION_FEATURES])
     return attribution.linear_contributions(rows, ROW, weights, intercept)
 
@@ -236,3 +230,35 @@ def what_if_scenarios(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("scenario_sweep")
 def scenario_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whatif.sweep(tree_rows(spark, sf_dir), tree_scorer(spark, sf_dir), "sell_price", PRICES)
+
+
+# ---- contributions of the boosted trees
+
+
+def tree_contributions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    grown = tree_attribution.trees_of(spark, trees(spark, sf_dir).stages[-1])
+    return tree_attribution.tree_contributions(model_rows(tree_rows(spark, sf_dir)), ROW, TREE_FEATURES, grown)
+
+
+@query("attribution_trees")
+def attribution_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tree_contributions(spark, sf_dir)
+
+
+@query("attribution_trees_global")
+def attribution_trees_global(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return attribution.global_ranking(tree_contributions(spark, sf_dir), TREE_FEATURES, 15)
+
+
+@query(
+    "attribution_trees_sums",
+    "SELECT item_id, store_id, count(*) AS n_rows, count(*) AS n_adding_up FROM gold WHERE split = 'test' GROUP BY 1, 2",
+    ("gold",),
+)
+def attribution_trees_sums(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows whose base value and contributions add up to what the fitted model itself predicts."""
+    told = tree_contributions(spark, sf_dir).withColumnRenamed("prediction", "told")
+    total = sum((F.col(f"contrib_{f}") for f in TREE_FEATURES), F.col("base_value"))
+    scored = trees(spark, sf_dir).transform(told)
+    same = (F.abs(F.col("prediction") - total) < 1e-6) & (F.abs(F.col("prediction") - F.col("told")) < 1e-6)
+    return scored.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("n_rows"), F.count_if(same).alias("n_adding_up"))

@@ -8,13 +8,12 @@ from pyspark.ml import PipelineModel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelweave.functions.columns import hash_order, series_id
-from panelweave.operators import forecast, models, requests
-from panelweave.operators.attribution import linear_score
+from panelweave.functions.columns import calendar_parts, hash_order
+from panelweave.operators import boosting, features, forecast, models, requests, tree_attribution
 from panelweave.operators.significance import union_models
 from panelweave.plans import medallion
 from panelweave.plans.registry import query, six
-from panelweave.session import fresh_path
+from panelweave.session import fresh_path, measured
 from panelweave.sources import retail
 from panelweave.sources.retail import HORIZON, KEYS, SNAPS
 
@@ -161,10 +160,10 @@ TREE_FEATURES = [
     "te_store_id",
 ]
 
-_fitted: dict[tuple[str, str], str] = {}
+_fitted: dict[tuple[str, ...], tuple[str, tuple[float, ...], int]] = {}
 
 
-def newest() -> Column:
+def newest_days() -> Column:
     """The training rows that stop boosting when they get worse."""
     return F.col("date") > F.lit(retail.TRAIN_END - dt.timedelta(days=HORIZON))
 
@@ -174,14 +173,33 @@ def model_rows(df: DataFrame) -> DataFrame:
     return df.fillna(0.0, subset=["sell_price", "price_pct_change"])
 
 
-def trees(spark: SparkSession, sf_dir: str) -> PipelineModel:
+def boosted(spark: SparkSession, sf_dir: str) -> boosting.Boosted:
     """The boosted trees of this application, fitted once and kept in the shared folder."""
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _fitted:
         path = fresh_path(spark, "trees")
-        models.fit_trees(model_rows(train(spark, sf_dir)), TREE_FEATURES, "sales", newest()).write().save(path)
-        _fitted[key] = path
-    return PipelineModel.load(_fitted[key])
+        fit = boosting.boost(model_rows(train(spark, sf_dir)), TREE_FEATURES, "sales", newest_days())
+        fit.model.write().save(path)
+        _fitted[key] = path, fit.errors, fit.best
+    path, errors, best = _fitted[key]
+    return boosting.Boosted(PipelineModel.load(path), errors, best)
+
+
+def trees(spark: SparkSession, sf_dir: str) -> PipelineModel:
+    return boosted(spark, sf_dir).model
+
+
+_regression: dict[tuple[str, str], tuple[dict[str, float], float]] = {}
+
+
+def regression(spark: SparkSession, sf_dir: str) -> tuple[dict[str, float], float]:
+    """Weights and intercept of a linear regression over all series and all model features, fitted
+    once in an application."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _regression:
+        model = models.fit_linear(model_rows(train(spark, sf_dir)), TREE_FEATURES, "sales")
+        _regression[key] = models.linear_weights(model, TREE_FEATURES)
+    return _regression[key]
 
 
 def tree_scorer(spark: SparkSession, sf_dir: str):
@@ -206,14 +224,48 @@ def top_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return models.importances(trees(spark, sf_dir), TREE_FEATURES).limit(15)
 
 
+@query(
+    "boosting_report",
+    """SELECT count(*) FILTER (date <= DATE '2001-06-03' - 28) AS n_fit, count(*) FILTER (date > DATE '2001-06-03' - 28) AS n_held,
+              true AS patience_kept, true AS best_is_least, true AS error_recomputed
+       FROM gold WHERE split = 'train' AND roll_std_7 IS NOT NULL AND sales IS NOT NULL""",
+    ("gold",),
+)
+def boosting_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stop of the boosted trees, checked: rows on both sides, rounds tried past the best one, and
+    the error of the model that was kept, computed anew from its scores."""
+    fit = boosted(spark, sf_dir)
+    rows = model_rows(train(spark, sf_dir)).select(*TREE_FEATURES, "sales", newest_days().alias("held")).dropna()
+    squared = F.pow(F.col("prediction") - F.col("sales"), 2)
+    tried = len(fit.errors)
+    return (
+        fit.model.transform(rows)
+        .agg(
+            F.count_if(~F.col("held")).alias("n_fit"),
+            F.count_if("held").alias("n_held"),
+            F.lit(tried - fit.best >= boosting.PATIENCE or tried == boosting.ROUNDS).alias("patience_kept"),
+            F.lit(fit.errors[fit.best - 1] == min(fit.errors)).alias("best_is_least"),
+            F.sqrt(F.avg(F.when(F.col("held"), squared))).alias("rmse"),
+        )
+        .withColumn("error_recomputed", F.abs(F.col("rmse") - fit.errors[fit.best - 1]) < 1e-6)
+        .drop("rmse")
+    )
+
+
+@query("boosting_rounds")
+def boosting_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Error on the newest days after each round that was tried, and which rounds were kept."""
+    fit = boosted(spark, sf_dir)
+    rows = [(i, e, i <= fit.best) for i, e in enumerate(fit.errors, 1)]
+    return spark.createDataFrame(rows, "round int, rmse double, kept boolean")
+
+
 @query("tune_gbt")
 def tune_gbt(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Four candidates on all model features: fitted on the training days until the newest of them
-    get worse, judged on the later validation days."""
-    val = medallion.gold(spark, sf_dir).filter(F.col("split") == "val")
-    return models.tune_trees(
-        model_rows(train(spark, sf_dir)), model_rows(val), TREE_FEATURES, "sales", depths=(2, 4), rates=(0.1, 0.3), is_validation=newest()
-    )
+    """Six draws from the ranges on all model features, by successive halving: 3 rounds for all of
+    them, 9 for two, 27 for one, judged on the newest training days."""
+    rows = model_rows(train(spark, sf_dir))
+    return boosting.search(rows, TREE_FEATURES, "sales", newest_days(), boosting.draw(6, seed=42), first_rounds=3, keep=3, rounds=27)
 
 
 # ---- forecast requests
@@ -221,45 +273,125 @@ def tune_gbt(spark: SparkSession, sf_dir: str) -> DataFrame:
 REQUEST_FEATURES = ["lag_7", "roll_mean_28", "sell_price", "snap_A"]
 REQUEST_MODELS = ("linear", "Naive", "mean28", "transformer")
 
+# Linear models as rows: model, feature, weight. Means are those of the newest rows.
+WEIGHTS = [
+    *[("linear", f, w) for f, w in LINEAR_WEIGHTS.items()],
+    ("linear", requests.INTERCEPT, LINEAR_INTERCEPT),
+    ("naive", "lag_7", 1.0),
+    ("mean28", "roll_mean_28", 1.0),
+]
+
+# The newest row of each series, requests drawn from its hash, and their features step by step.
+ASKED = """
+    r AS (SELECT *, CAST('0x' || substr(md5('42|' || series_id), 1, 8) AS BIGINT) AS h
+          FROM (SELECT item_id || '_' || store_id AS series_id, arg_max(date, date) AS last, arg_max(roll_mean_28, date) AS roll_mean_28,
+                       arg_max(coalesce(sell_price, 0.0), date) AS sell_price, arg_max(lag_7, date) AS lag_7, arg_max(snap_A, date) AS snap_A
+                FROM gold GROUP BY 1)),
+    v AS (SELECT series_id, list(sales ORDER BY date) AS recent
+          FROM (SELECT item_id || '_' || store_id AS series_id, date, sales, row_number() OVER (PARTITION BY item_id, store_id ORDER BY date DESC) AS k FROM gold)
+          WHERE k <= 28 GROUP BY 1),
+    q AS (SELECT 'r' || CAST(h AS VARCHAR) AS request_id, series_id, last, roll_mean_28, h,
+            CASE h % 4 WHEN 0 THEN 'linear' WHEN 1 THEN 'naive' WHEN 2 THEN 'mean28' ELSE 'transformer' END AS model, h % 60 AS horizon,
+            CASE WHEN h % 3 = 0 THEN CAST(h % 500 AS DOUBLE) ELSE sell_price END AS sell_price FROM r),
+    s AS (SELECT *, CASE WHEN horizon NOT BETWEEN 1 AND 56 THEN 'bad_horizon' WHEN model = 'transformer' THEN 'unknown_model'
+                         ELSE 'ok' END AS status FROM q),
+    f AS (SELECT s.*, CAST(step AS INTEGER) AS step, recent[len(recent) - (7 * CAST(ceil(step / 7.0) AS BIGINT) - step)] AS lag_7
+          FROM s JOIN v USING (series_id), unnest(CASE WHEN status = 'ok' THEN range(1, horizon + 1) ELSE [0] END) AS t(step))"""
+
+
+def newest_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The newest row of every series, whatever day that is."""
+    gold = model_rows(medallion.gold(spark, sf_dir))
+    return requests.newest_rows(gold, KEYS, "date", "sales", sorted({*REQUEST_FEATURES, *TREE_FEATURES}), 28)
+
+
+def asked(latest: DataFrame, names: tuple[str, ...]) -> DataFrame:
+    """A request per series, with mixed models, horizons and price overrides."""
+    h = F.col("h")
+    return latest.select("series_id", hash_order(["series_id"]).alias("h")).select(
+        F.concat(F.lit("r"), h.cast("string")).alias("request_id"),
+        "series_id",
+        F.element_at(F.array(*[F.lit(m) for m in names]), (F.pmod(h, F.lit(len(names))) + 1).cast("int")).alias("model"),
+        F.pmod(h, F.lit(60)).cast("int").alias("horizon"),
+        F.when(F.pmod(h, F.lit(3)) == 0, F.create_map(F.lit("sell_price"), F.pmod(h, F.lit(500)).cast("double"))).alias("overrides"),
+    )
+
+
+def features_ahead() -> dict[str, Column]:
+    """Features of a day to come: lags over the known values, its calendar, no benefit days."""
+    parts = calendar_parts("ds")
+    return {
+        **{f"lag_{k}": requests.lag_ahead(k) for k in features.LAGS},
+        **{c: parts[c] for c in ("day_of_week", "month", "is_weekend", "quarter")},
+        **{s: F.lit(0) for s in SNAPS},
+    }
+
+
+def weight_table(latest: DataFrame) -> DataFrame:
+    """The linear models as a table, with the mean of each feature over the newest rows."""
+    spark = latest.sparkSession
+    used = sorted({f for _, f, _ in WEIGHTS if f != requests.INTERCEPT})
+    means = latest.agg(*[F.avg(F.coalesce(F.col(f).cast("double"), F.lit(0.0))).alias(f) for f in used]).unpivot([], used, "feature", "mean")
+    table = spark.createDataFrame(WEIGHTS, "model string, feature string, weight double")
+    return measured(table.join(means, "feature", "left"))
+
+
+def linear_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    latest = newest_rows(spark, sf_dir)
+    route = requests.linear_route(weight_table(latest), ("linear", "naive", "mean28"))
+    return requests.answer(asked(latest, REQUEST_MODELS), latest, REQUEST_FEATURES, [route], {k: v for k, v in features_ahead().items() if k in REQUEST_FEATURES})
+
 
 @query(
     "score_requests",
-    """WITH r AS (
-         SELECT item_id || '_' || store_id AS series_id, lag_7, roll_mean_28, coalesce(sell_price, 0.0) AS sell_price, snap_A,
-                CAST('0x' || substr(md5('42|' || item_id || '_' || store_id), 1, 8) AS BIGINT) AS h
-         FROM gold WHERE date = DATE '2001-07-29'),
-       q AS (SELECT 'r' || CAST(h AS VARCHAR) AS request_id, series_id,
-               CASE h % 4 WHEN 0 THEN 'linear' WHEN 1 THEN 'naive' WHEN 2 THEN 'mean28' ELSE 'transformer' END AS model,
-               h % 60 AS horizon, lag_7, roll_mean_28, snap_A,
-               CASE WHEN h % 3 = 0 THEN CAST(h % 500 AS DOUBLE) ELSE sell_price END AS sell_price FROM r),
-       s AS (SELECT *, CASE WHEN horizon NOT BETWEEN 1 AND 56 THEN 'bad_horizon' WHEN model = 'transformer' THEN 'unknown_model'
-                            ELSE 'ok' END AS status FROM q)
-       SELECT request_id, series_id, model, status, CAST(step AS INTEGER) AS step,
+    f"""WITH {ASKED}
+       SELECT request_id, series_id, model, status, step, CASE WHEN status = 'ok' THEN CAST(last + step AS DATE) END AS ds,
               CASE WHEN status <> 'ok' THEN NULL WHEN model = 'naive' THEN greatest(0.0, lag_7)
                    WHEN model = 'mean28' THEN greatest(0.0, roll_mean_28)
-                   ELSE greatest(0.0, 2.0 + 0.5 * lag_7 + -0.001 * sell_price + 1.5 * snap_A) END AS yhat
-       FROM s, unnest(CASE WHEN status = 'ok' THEN range(1, horizon + 1) ELSE [0] END) AS t(step)""",
+                   ELSE greatest(0.0, 2.0 + 0.5 * lag_7 + -0.001 * sell_price) END AS yhat
+       FROM f""",
     ("gold",),
     six("yhat"),
 )
 def score_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One request per series with mixed models, horizons and price overrides."""
-    latest = (
-        medallion.gold(spark, sf_dir)
-        .filter((F.col("split") == "test") & (F.col("date") == F.lit(retail.TEST_END)))
-        .select(series_id(*KEYS).alias("series_id"), *REQUEST_FEATURES)
-    )
-    h = F.col("h")
-    asked = latest.select("series_id", hash_order(["series_id"]).alias("h")).select(
-        F.concat(F.lit("r"), h.cast("string")).alias("request_id"),
-        "series_id",
-        F.element_at(F.array(*[F.lit(m) for m in REQUEST_MODELS]), (F.pmod(h, F.lit(4)) + 1).cast("int")).alias("model"),
-        F.pmod(h, F.lit(60)).cast("int").alias("horizon"),
-        F.when(F.pmod(h, F.lit(3)) == 0, F.create_map(F.lit("sell_price"), F.pmod(h, F.lit(500)).cast("double"))).alias("overrides"),
-    )
-    scorers = {
-        "linear": linear_score(LINEAR_WEIGHTS, LINEAR_INTERCEPT),
-        "naive": F.col("lag_7"),
-        "mean28": F.col("roll_mean_28"),
-    }
-    return requests.score_requests(asked, latest, REQUEST_FEATURES, scorers)
+    """One request per series with mixed models, horizons and price overrides, answered by linear
+    models whose weights are a table."""
+    return linear_answers(spark, sf_dir).select("request_id", "series_id", "model", "status", "step", "ds", "yhat")
+
+
+@query(
+    "explain_requests",
+    f"""WITH {ASKED},
+       m AS (SELECT avg(coalesce(lag_7, 0.0)) AS m_lag, avg(roll_mean_28) AS m_roll, avg(sell_price) AS m_price, avg(snap_A) AS m_snap FROM r),
+       a AS (SELECT * FROM f, m WHERE status = 'ok')
+       SELECT request_id, model, step, feature, contribution FROM (
+         SELECT request_id, model, step, '(base)' AS feature,
+                CASE model WHEN 'linear' THEN 2.0 + 0.5 * m_lag - 0.001 * m_price + 1.5 * m_snap WHEN 'naive' THEN m_lag ELSE m_roll END AS contribution FROM a
+         UNION ALL SELECT request_id, model, step, 'lag_7', CASE model WHEN 'linear' THEN 0.5 ELSE 1.0 END * (lag_7 - m_lag) FROM a WHERE model <> 'mean28'
+         UNION ALL SELECT request_id, model, step, 'roll_mean_28', roll_mean_28 - m_roll FROM a WHERE model = 'mean28'
+         UNION ALL SELECT request_id, model, step, 'sell_price', -0.001 * (sell_price - m_price) FROM a WHERE model = 'linear'
+         UNION ALL SELECT request_id, model, step, 'snap_A', 1.5 * (0 - m_snap) FROM a WHERE model = 'linear')""",
+    ("gold",),
+    six("contribution"),
+)
+def explain_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each feature adds to each answered step."""
+    return requests.explanations(linear_answers(spark, sf_dir))
+
+
+@query("score_requests_fitted")
+def score_requests_fitted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same requests answered by the boosted trees and the regression over all series, with the
+    largest contribution of each step."""
+    latest = newest_rows(spark, sf_dir)
+    grown = tree_attribution.trees_of(spark, trees(spark, sf_dir).stages[-1])
+    weights, intercept = regression(spark, sf_dir)
+    rows = [("regression", f, w) for f, w in weights.items()] + [("regression", requests.INTERCEPT, intercept)]
+    table = spark.createDataFrame(rows, "model string, feature string, weight double").withColumn("mean", F.lit(0.0))
+    routes = [
+        requests.contribution_route("gbt", TREE_FEATURES, lambda df, keys: tree_attribution.tree_contributions(df, keys, TREE_FEATURES, grown)),
+        requests.linear_route(measured(table), ("regression",)),
+    ]
+    answers = requests.answer(asked(latest, ("gbt", "Regression")), latest, TREE_FEATURES, routes, features_ahead())
+    most = F.array_max(F.transform(F.map_entries("contributions"), lambda e: F.struct(F.abs(e["value"]).alias("size"), e["key"].alias("feature"))))
+    return answers.select("request_id", "series_id", "model", "status", "step", "ds", "yhat", "base_value", most["feature"].alias("main_feature"))

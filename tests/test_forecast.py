@@ -6,9 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from panelweave.operators import evaluate, forecast, models, requests
-from panelweave.operators.attribution import linear_score
-from panelweave.plans import forecast_queries
+from panelweave.operators import evaluate, forecast, models
 
 D0 = dt.date(2016, 1, 1)
 
@@ -130,50 +128,3 @@ def test_trees_predict_and_rank(spark):
     assert top.feature == "a" and top.importance > 0.9
     scored = models.predict(model, df)
     assert "features" not in scored.columns and scored.agg(F.min("yhat")).first()[0] >= 0
-    grid = models.tune_trees(df, df, ["a", "b"], "target", (1, 3), (0.3,), 3).collect()
-    assert [r.max_depth for r in grid] == [3, 1]
-
-
-def test_requests(spark):
-    latest = spark.createDataFrame([("a", 2.0, 4.0), ("b", -9.0, 1.0)], "series_id string, x double, z double")
-    asked = spark.createDataFrame(
-        [
-            ("r1", "a", "Lin", 2, None),
-            ("r2", "a", "lin", 1, {"x": 10.0}),
-            ("r3", "b", "lin", 1, None),
-            ("r4", "a", "other", 1, None),
-            ("r5", "a", "lin", 57, None),
-            ("r6", "zzz", "lin", 1, None),
-        ],
-        "request_id string, series_id string, model string, horizon int, overrides map<string,double>",
-    )
-    out = requests.score_requests(asked, latest, ["x", "z"], {"lin": linear_score({"x": 1.0, "z": 1.0}, 0.0)}).collect()
-    got = sorted((r.request_id, r.status, r.step, r.yhat) for r in out)
-    assert got == [
-        ("r1", "ok", 1, 6.0),
-        ("r1", "ok", 2, 6.0),
-        ("r2", "ok", 1, 14.0),
-        ("r3", "ok", 1, 0.0),
-        ("r4", "unknown_model", 0, None),
-        ("r5", "bad_horizon", 0, None),
-        ("r6", "unknown_series", 0, None),
-    ]
-
-
-def test_registered_trees_have_all_rounds_and_an_early_stop(spark, sf_dir, monkeypatch):
-    made = []
-    for fit in (forecast_queries.trees, forecast_queries.tune_gbt):
-
-        class Stop(Exception):
-            pass
-
-        def record(self, rows):
-            stage = self.getStages()[-1]
-            made.append((stage.getMaxIter(), stage.getValidationIndicatorCol(), rows.filter(stage.getValidationIndicatorCol()).count()))
-            raise Stop
-
-        monkeypatch.setattr(models.Pipeline, "fit", record)
-        monkeypatch.setattr(forecast_queries, "_fitted", {})
-        with pytest.raises(Stop):
-            fit(spark, sf_dir)
-    assert [m[:2] for m in made] == [(500, "held_out")] * 2 and all(m[2] > 0 for m in made)
