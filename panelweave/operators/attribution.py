@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from panelweave.functions.columns import EPSILON, hash_order
 from panelweave.operators.evaluate import rmse
+from panelweave.operators.ranges import with_next
+from panelweave.session import written
 
 
 def linear_score(weights: dict[str, float], intercept: float) -> Column:
@@ -23,18 +24,18 @@ def linear_score(weights: dict[str, float], intercept: float) -> Column:
 def linear_contributions(df: DataFrame, keys: Sequence[str], weights: dict[str, float], intercept: float) -> DataFrame:
     """Exact Shapley values of a linear model: ``weight * (x - mean x)`` per feature, as
     ``contrib_<feature>``, with the mean prediction as ``base_value``; their sum is the
-    ``prediction``. The means come from one aggregate row."""
+    ``prediction``. The means are one aggregate row, read once as a struct."""
     x = {f: F.coalesce(F.col(f), F.lit(0.0)) for f in weights}
-    means = df.agg(*[F.avg(c).alias(f) for f, c in x.items()])
-    mean = {f: means.select(f).scalar() for f in weights}
+    means = df.agg(F.struct(*[F.avg(c).alias(f) for f, c in x.items()]).alias("m"))
+    given = df.select(*keys, *[x[f].alias(f) for f in weights]).withColumn("_mean", means.scalar())
     base = F.lit(float(intercept))
     for f, w in weights.items():
-        base = base + w * mean[f]
-    return df.select(
+        base = base + w * F.col("_mean")[f]
+    return given.select(
         *keys,
-        *[x[f].alias(f) for f in weights],
+        *weights,
         base.alias("base_value"),
-        *[(w * (x[f] - mean[f])).alias(f"contrib_{f}") for f, w in weights.items()],
+        *[(w * (F.col(f) - F.col("_mean")[f])).alias(f"contrib_{f}") for f, w in weights.items()],
         linear_score(weights, intercept).alias("prediction"),
     )
 
@@ -70,22 +71,15 @@ def normalise_importance(table: DataFrame, weight: str) -> DataFrame:
     )
 
 
-def permuted(df: DataFrame, keys: Sequence[str], feature: str, rows_per_bucket: int = 10_000, n_rows: int | None = None, seed: int = 42) -> DataFrame:
-    """The rows with one feature's values exchanged.
+def permuted(df: DataFrame, keys: Sequence[str], features: Sequence[str], seed: int = 42) -> DataFrame:
+    """The rows with ``_permuted``, a struct of the features of another row.
 
-    Rows fall into even hash buckets and take the value of the next row in hash order, the
-    last one that of the first: a random cyclic permutation per bucket. The bucket number
-    follows the row count, so a bucket stays small at any scale.
+    Rows stand in hash order of their keys and take the values of the next one, the last row those
+    of the first: one random cycle through all rows, the same for any number of partitions. Rows
+    with equal keys go on by their values.
     """
-    n = df.count() if n_rows is None else n_rows
-    buckets = max(1, math.ceil(n / rows_per_bucket))
-    bucket = F.pmod(hash_order(keys, seed), F.lit(buckets))
-    w = Window.partitionBy("_bucket").orderBy("_order", *keys)
-    values = df.withColumns({"_bucket": bucket, "_order": hash_order(keys, seed + 1)})
-    whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    following = F.lead(F.struct(feature)).over(w)
-    first = F.first(F.struct(feature)).over(whole)
-    return values.withColumn(feature, F.coalesce(following, first)[feature]).drop("_bucket", "_order")
+    ordered = df.withColumn("_order", hash_order(keys, seed))
+    return with_next(ordered, ["_order", *keys, *features], features, "_permuted").drop("_order")
 
 
 def permutation_importance(
@@ -94,15 +88,14 @@ def permutation_importance(
     features: Sequence[str],
     target: str,
     scorer: Callable[[DataFrame], DataFrame],
-    rows_per_bucket: int = 10_000,
 ) -> DataFrame:
     """Rise in rmse when a feature's values are exchanged between rows. ``scorer`` adds
-    ``yhat``. One scan per feature; each yields one row."""
-    n = df.count()
-    base = scorer(df).agg(rmse(target).alias("rmse"))
-    rows = None
+    ``yhat``. Rows are ordered once; then there is one scan per feature, which yields one row."""
+    rows = written(permuted(df, keys, features), "permuted")
+    base = scorer(rows.drop("_permuted")).agg(rmse(target).alias("rmse"))
+    out = None
     for f in features:
-        scored = scorer(permuted(df, keys, f, rows_per_bucket, n)).agg(rmse(target).alias("permuted_rmse"))
-        row = scored.select(F.lit(f).alias("feature"), "permuted_rmse")
-        rows = row if rows is None else rows.unionByName(row)
-    return rows.select("feature", "permuted_rmse", (F.col("permuted_rmse") - base.scalar()).alias("importance"))
+        exchanged = rows.withColumn(f, F.col("_permuted")[f]).drop("_permuted")
+        row = scorer(exchanged).agg(rmse(target).alias("permuted_rmse")).select(F.lit(f).alias("feature"), "permuted_rmse")
+        out = row if out is None else out.unionByName(row)
+    return out.select("feature", "permuted_rmse", (F.col("permuted_rmse") - base.scalar()).alias("importance"))

@@ -7,28 +7,22 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from panelweave.operators.ranges import quantiles
+from panelweave.session import measured
+
 
 def distribution(df: DataFrame, value: str) -> DataFrame:
-    """Count, mean, sample deviation, extremes and exact quartiles. The quartiles keep one
-    counter per distinct value, so this is for counts and prices rather than free reals."""
-    quartiles = F.percentile(value, [0.25, 0.5, 0.75])
-    return df.agg(
+    """Count, mean, sample deviation, extremes and exact quartiles of any column of numbers."""
+    moments = df.agg(
         F.count(value).alias("n"),
         F.avg(value).alias("mean"),
         F.stddev_samp(value).alias("std"),
         F.min(value).alias("min"),
-        quartiles.alias("_q"),
         F.max(value).alias("max"),
-    ).select(
-        "n",
-        "mean",
-        "std",
-        "min",
-        F.col("_q")[0].alias("p25"),
-        F.col("_q")[1].alias("p50"),
-        F.col("_q")[2].alias("p75"),
-        "max",
     )
+    quartiles = measured(quantiles(df, value, (0.25, 0.5, 0.75)))  # one row
+    p25, p50, p75 = (quartiles.select(f"q{i}").scalar() for i in range(3))
+    return moments.select("n", "mean", "std", "min", p25.alias("p25"), p50.alias("p50"), p75.alias("p75"), "max")
 
 
 def zero_rate(df: DataFrame, by: Sequence[str], value: str = "sales") -> DataFrame:

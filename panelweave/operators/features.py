@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelweave.functions.columns import EPSILON, calendar_parts
-from panelweave.session import measured
+from panelweave.session import fits_broadcast, measured
 
 # Default lags, rolling windows and rolling statistics.
 LAGS = (1, 7, 14, 28)
@@ -116,19 +116,26 @@ def add_price(df: DataFrame, keys: Sequence[str], order: str, price: str = "sell
     )
 
 
-def add_group_zscore(df: DataFrame, by: Sequence[str], value: str, name: str) -> DataFrame:
+def add_group_zscore(df: DataFrame, by: Sequence[str], value: str, name: str, series: Sequence[str] = ()) -> DataFrame:
     """``(value - group mean) / (group std + 1e-8)``; exactly 0 in a group of equal values,
     whose mean is taken as that value so that rounding is not blown up by the small divisor.
 
     Group statistics are combined map-side and joined back. A window over the group would
-    bring all its rows, possibly a third of the table, into one task.
+    bring all its rows, possibly a third of the table, into one task. Where the statistics are
+    too large to broadcast and the table is bucketed by ``series``, they go to the distinct pairs
+    of series and group first, and those, a row per series and group, to the rows where they
+    lie: the table itself is not moved.
     """
     low, high = F.min(value), F.max(value)
     mean = F.when(low == high, low).otherwise(F.avg(value))
     std = F.when(F.stddev_samp(value).isNotNull() & (low == high), 0.0).otherwise(F.stddev_samp(value))
     stats = measured(df.groupBy(*by).agg(mean.alias("_mean"), std.alias("_std")))
+    on = list(by)
+    if series and not fits_broadcast(stats):
+        on = [*series, *[c for c in by if c not in series]]
+        stats = df.select(*on).distinct().join(stats, list(by))
     return (
-        df.join(stats, list(by), "left")
+        df.join(stats, on, "left")
         .withColumn(name, (F.col(value) - F.col("_mean")) / (F.col("_std") + EPSILON))
         .drop("_mean", "_std")
     )

@@ -102,28 +102,23 @@ def importance_normalised_linear(spark: SparkSession, sf_dir: str) -> DataFrame:
     return attribution.normalise_importance(attribution_global_linear(spark, sf_dir), "mean_abs_contribution")
 
 
-HASH = "CAST('0x' || substr(md5('{seed}|' || item_id || '|' || store_id || '|' || CAST(date AS VARCHAR)), 1, 8) AS BIGINT)"
+HASH = "CAST('0x' || substr(md5('42|' || item_id || '|' || store_id || '|' || CAST(date AS VARCHAR)), 1, 8) AS BIGINT)"
 PERMUTED = " UNION ALL ".join(
     f"""SELECT '{f}' AS feature, sqrt(avg(pow(sales - greatest(0.0, raw - {w} * {f} + {w} * shifted), 2))) AS permuted_rmse
-        FROM (SELECT *, coalesce(lead({f}) OVER w, first_value({f}) OVER w) AS shifted FROM bucketed
-              WINDOW w AS (PARTITION BY bucket ORDER BY h, item_id, store_id, date))"""
+        FROM (SELECT *, coalesce(lead({f}) OVER w, first_value({f}) OVER w) AS shifted FROM hashed WINDOW w AS (ORDER BY h, item_id, store_id, date))"""
     for f, w in LINEAR_WEIGHTS.items()
 )
 
 
 @query(
     "permutation_importance_linear",
-    f"""WITH n AS (SELECT greatest(1, CAST(ceil(count(*) / 1000.0) AS BIGINT)) AS buckets FROM scored),
-        bucketed AS (SELECT scored.*, {HASH.format(seed=42)} % buckets AS bucket, {HASH.format(seed=43)} AS h FROM scored, n),
-        p AS ({PERMUTED})
+    f"""WITH hashed AS (SELECT scored.*, {HASH} AS h FROM scored), p AS ({PERMUTED})
         SELECT feature, permuted_rmse, permuted_rmse - (SELECT sqrt(avg(pow(sales - greatest(0.0, raw), 2))) FROM scored) AS importance FROM p""",
     ("scored",),
     six("permuted_rmse", "importance"),
 )
 def permutation_importance_linear(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return attribution.permutation_importance(
-        linear_rows(spark, sf_dir), ROW, LINEAR_FEATURES, "sales", linear_scorer, rows_per_bucket=1000
-    )
+    return attribution.permutation_importance(linear_rows(spark, sf_dir), ROW, LINEAR_FEATURES, "sales", linear_scorer)
 
 
 # ---- what-if of the fixed formula

@@ -29,6 +29,19 @@ def sales_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return explore.distribution(medallion.silver(spark, sf_dir), "sales")
 
 
+@query(
+    "price_summary",
+    """SELECT count(v) AS n, avg(v) AS mean, stddev_samp(v) AS std, min(v) AS min, quantile_cont(v, 0.25) AS p25,
+              quantile_cont(v, 0.5) AS p50, quantile_cont(v, 0.75) AS p75, max(v) AS max
+       FROM (SELECT l_extendedprice * (1 - l_discount) / l_quantity AS v FROM lineitem)""",
+    digits=six("mean", "std", "min", "p25", "p50", "p75", "max"),
+)
+def price_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same of a real number that hardly ever repeats: the unit price of each order line."""
+    lines = retail.raw(spark, sf_dir, "lineitem")
+    return explore.distribution(lines.select((F.col("l_extendedprice") * (1 - F.col("l_discount")) / F.col("l_quantity")).alias("v")), "v")
+
+
 @query(
     "zero_rate",
     """SELECT cat_id, avg(CAST(sales = 0 AS INTEGER)) AS zero_rate, avg(sales) AS avg_sales,
@@ -185,7 +198,7 @@ def price_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def price_norm(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = base(spark, sf_dir, "wm_yr_wk", "sell_price")
-    return features.add_group_zscore(df, ["store_id", "wm_yr_wk"], "sell_price", "price_norm_store")
+    return features.add_group_zscore(df, ["store_id", "wm_yr_wk"], "sell_price", "price_norm_store", KEYS)
 
 
 # ---- encodings

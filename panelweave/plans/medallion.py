@@ -95,7 +95,7 @@ def gold_plan(silver_table: DataFrame) -> DataFrame:
     train = silver_table.filter(F.col("date") <= F.lit(retail.TRAIN_END))
     means = encodings.fit_target_encoding(train, ENCODED, "sales")
     codes = encodings.fit_event_codes(silver_table, EVENT)
-    df = features.add_group_zscore(silver_table, ["store_id", "wm_yr_wk"], "sell_price", "price_norm_store")
+    df = features.add_group_zscore(silver_table, ["store_id", "wm_yr_wk"], "sell_price", "price_norm_store", KEYS)
     df = encodings.apply_target_encoding(df, means)
     df = encodings.apply_event_codes(df, codes, EVENT, "event_name_encoded")
     df = features.add_calendar(window_features(df), "date")

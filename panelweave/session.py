@@ -48,6 +48,13 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex[:12]}"
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """Write a table to the shared folder and return it from there: computed once, its lineage cut."""
+    path = fresh_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def measured(df: DataFrame) -> DataFrame:
     """Write a small aggregate to the shared folder and return it from there.
 
@@ -56,6 +63,10 @@ def measured(df: DataFrame) -> DataFrame:
     it. Nothing is broadcast on trust, the aggregate is computed once however often it is
     used, and losing an executor does not lose it.
     """
-    path = fresh_path(df.sparkSession, "small")
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return written(df, "small")
+
+
+def fits_broadcast(df: DataFrame) -> bool:
+    """Whether Catalyst knows the table to be below ``spark.sql.autoBroadcastJoinThreshold``."""
+    limit = df.sparkSession._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) <= limit

@@ -48,14 +48,31 @@ def test_normalised_importance(spark):
     assert got["a"].above_median and not got["b"].above_median
 
 
-@pytest.mark.parametrize("bucket", [10_000, 40])
-def test_permutation_keeps_the_values(rows, bucket):
-    before = sorted(r.a for r in rows.collect())
-    after = attribution.permuted(rows, ["id"], "a", rows_per_bucket=bucket).collect()
-    assert sorted(r.a for r in after) == before
-    moved = {r.id: r.a for r in after}
-    assert sum(moved[r.id] != r.a for r in rows.collect()) > 290
-    assert all(r.y == pytest.approx(2 * o.a - o.b + 5) for r, o in zip(sorted(after, key=lambda r: r.id), sorted(rows.collect(), key=lambda r: r.id)))
+def test_permutation_is_one_cycle_for_any_number_of_partitions(spark, rows):
+    seen = []
+    for n in ("1", "3", "8"):
+        spark.conf.set("spark.sql.shuffle.partitions", n)
+        try:
+            moved = {r.id: r for r in attribution.permuted(rows, ["id"], ["a", "b"]).collect()}
+        finally:
+            spark.conf.set("spark.sql.shuffle.partitions", "8")
+        seen.append({i: r._permuted.a for i, r in moved.items()})
+        assert all(r.y == pytest.approx(2 * r.a - r.b + 5) for r in moved.values())
+    assert seen[0] == seen[1] == seen[2]
+    at = {r.a: r.id for r in rows.collect()}
+    i, steps = 0, 0
+    while True:
+        i, steps = at[seen[0][i]], steps + 1
+        if i == 0:
+            break
+    assert steps == 300
+
+
+def test_permutation_of_few_missing_and_repeated_rows(spark):
+    df = spark.createDataFrame([(1, None), (1, None), (1, 2.0)], "id int, a double")
+    got = sorted(str(r._permuted.a) for r in attribution.permuted(df, ["id"], ["a"]).collect())
+    assert got == ["2.0", "None", "None"]
+    assert attribution.permuted(df.limit(0), ["id"], ["a"]).collect() == []
 
 
 def test_permutation_importance(rows):

@@ -7,7 +7,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from panelweave.operators import encodings, features, reshape
+from panelweave.operators import encodings, features, reshape, ranges
 
 D0 = dt.date(2016, 1, 1)
 
@@ -172,3 +172,30 @@ def test_pandas_has_the_same_percentiles(spark):
     values = [0.0, 0.0, 1.0, 2.0, 7.0, 9.0]
     r = explore.distribution(spark.createDataFrame([(v,) for v in values], "v double"), "v").first()
     assert [r.p25, r.p50, r.p75] == list(pd.Series(values).quantile([0.25, 0.5, 0.75]))
+
+
+@pytest.mark.parametrize("n", [0, 1, 2, 5, 1000])
+def test_quantiles_equal_numpy(spark, n):
+    rng = np.random.default_rng(n)
+    values = [*rng.normal(0, 1, n // 2).tolist(), *rng.integers(0, 4, n - n // 2).astype(float).tolist()]
+    df = spark.createDataFrame([(v,) for v in [*values, None, None]], "v double").repartition(5)
+    got = tuple(ranges.quantiles(df, "v", (0.0, 0.25, 0.5, 0.9, 1.0)).first())
+    assert got == pytest.approx(tuple(np.quantile(values, (0, 0.25, 0.5, 0.9, 1)))) if n else got == (None,) * 5
+
+
+def test_running_sums_and_next_rows(spark):
+    df = spark.createDataFrame([(i, i % 5 + 1) for i in range(200)], "k int, w int")
+    assert {r.k: r.s for r in ranges.running_sum(df, ["k"], "w", "s").collect()} == {i: sum(j % 5 + 1 for j in range(i)) for i in range(200)}
+    assert {r.k: r.n.k for r in ranges.with_next(df, ["k"], ["k"], "n").collect()} == {i: (i + 1) % 200 for i in range(200)}
+
+
+def test_zscore_by_pairs_of_series_and_group_is_the_same(spark):
+    rng = np.random.default_rng(2)
+    df = spark.createDataFrame([(f"s{i % 9}", f"g{i % 4}", float(v)) for i, v in enumerate(rng.normal(0, 1, 400))] + [("s0", None, 1.0), ("s1", "g0", None)], "s string, g string, v double")
+    direct = features.add_group_zscore(df, ["g"], "v", "z").select("s", "g", "v", F.round("z", 9).alias("z"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "10")
+    try:
+        pairs = features.add_group_zscore(df, ["g"], "v", "z", ["s"]).select("s", "g", "v", F.round("z", 9).alias("z"))
+        assert sorted(map(str, pairs.collect())) == sorted(map(str, direct.collect()))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")

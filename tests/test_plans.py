@@ -48,6 +48,18 @@ def test_large_encodings_are_not_broadcast(spark, sf_dir):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
+def test_zscore_does_not_move_the_panel_when_its_statistics_are_large(spark, sf_dir):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "20000")
+    try:
+        silver = medallion.silver(spark, sf_dir).select(*KEYS, "date", "wm_yr_wk", "sell_price")
+        text = plan(features.add_group_zscore(silver, ["store_id", "wm_yr_wk"], "sell_price", "z", KEYS))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    moved = re.findall(r"\) Exchange\nInput \[\d+\]: \[(.*)\]", text)
+    assert moved and not any("date#" in columns for columns in moved)
+    assert "SortMergeJoin" in text
+
+
 def test_price_join_moves_no_sales_rows(spark, sf_dir):
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
