@@ -78,11 +78,40 @@ def future_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
     return frame.withColumn("event_name_encoded", no_event)
 
 
+# Seasons that scale with the trend, and 25 places where its slope may change.
+SEASONAL = forecast.SeasonalModel(multiplicative=True, changes=25)
+
+
 @query("forecast_seasonal_reg")
 def forecast_seasonal_reg(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One regression per series: trend, weekly and yearly terms, last price, benefit flags."""
-    return forecast.seasonal_regression(
-        train(spark, sf_dir), KEYS, "date", "sales", HORIZON, ["sell_price"], SNAPS
+    return forecast.seasonal_regression(train(spark, sf_dir), KEYS, "date", "sales", HORIZON, ["sell_price"], SNAPS, model=SEASONAL)
+
+
+@query(
+    "seasonal_fit_totals",
+    "SELECT item_id, store_id, count(*) AS n_rows, sum(sales) AS total FROM splits WHERE split = 'train' GROUP BY 1, 2",
+    ("splits",),
+    {"total": 4},
+)
+def seasonal_fit_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fits of the same model have the sum of the observations, series by series."""
+    fitted = forecast.seasonal_fitted(train(spark, sf_dir), KEYS, "date", "sales", ["sell_price", *SNAPS], SEASONAL)
+    return fitted.groupBy(*KEYS).agg(F.count("fitted").alias("n_rows"), F.sum("fitted").alias("total"))
+
+
+@query(
+    "forecast_intervals",
+    "SELECT item_id, store_id, CAST(28 AS BIGINT) AS n_rows, CAST(28 AS BIGINT) AS n_ordered, max(date) + 1 AS first_day, max(date) + 28 AS last_day "
+    "FROM splits WHERE split = 'train' GROUP BY 1, 2",
+    ("splits",),
+)
+def forecast_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Days of each series' forecast, and how many have 0 <= lower <= forecast <= upper."""
+    rows = forecast_seasonal_reg(spark, sf_dir)
+    ordered = (F.col("yhat_lower") >= 0) & (F.col("yhat_lower") <= F.col("yhat")) & (F.col("yhat") <= F.col("yhat_upper"))
+    return rows.filter("status = 'ok'").groupBy(*KEYS).agg(
+        F.count(F.lit(1)).alias("n_rows"), F.count_if(ordered).alias("n_ordered"), F.min("ds").alias("first_day"), F.max("ds").alias("last_day")
     )
 
 
@@ -143,6 +172,33 @@ def decompose_hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
     return forecast.decompose(hourly, ["event_type"], "hour", "n_events", period=24, index=hours)
 
 
+def robust_sql(rounds: int, keys: str = "item_id, store_id", period: int = 7, half: int = 3) -> str:
+    """The robust decomposition round by round: medians first, then bisquare weights."""
+    near = f"(PARTITION BY {keys} ORDER BY i RANGE BETWEEN {half} PRECEDING AND {half} FOLLOWING)"
+    ctes = [
+        f"t0 AS (SELECT {keys}, date, sales, i, i % {period} AS phase, median(sales) OVER {near} AS trend FROM (SELECT *, date - DATE '1970-01-01' AS i FROM panel))",
+        f"m0 AS (SELECT {keys}, phase, median(sales - trend) AS m FROM t0 GROUP BY {keys}, phase)",
+    ]
+    for k in range(rounds + 1):
+        ctes.append(f"l{k} AS (SELECT {keys}, avg(m) AS level FROM m{k} GROUP BY {keys})")
+        ctes.append(f"""r{k} AS (SELECT t{k}.*, m - level AS seasonal, sales - trend - (m - level) AS residual
+            FROM t{k} JOIN m{k} USING ({keys}, phase) JOIN l{k} USING ({keys}))""")
+        if k < rounds:
+            ctes.append(f"h{k} AS (SELECT *, 6 * median(abs(residual)) OVER (PARTITION BY {keys}) + 1e-8 AS reach FROM r{k})")
+            ctes.append(f"""w{k} AS (SELECT * EXCLUDE (reach{", w, before" if k else ""}), CASE WHEN abs(residual) < reach THEN pow(1 - (residual / reach) * (residual / reach), 2) ELSE 0.0 END AS w FROM h{k})""")
+            ctes.append(f"""t{k + 1} AS (SELECT {keys}, date, sales, i, phase, w, seasonal AS before,
+                CASE WHEN sum(w) OVER {near} > 0 THEN sum(w * (sales - seasonal)) OVER {near} / sum(w) OVER {near} ELSE trend END AS trend FROM w{k})""")
+            ctes.append(f"""m{k + 1} AS (SELECT {keys}, phase, CASE WHEN sum(w) > 0 THEN sum(w * (sales - trend)) / sum(w) ELSE any_value(before) END AS m
+                FROM t{k + 1} GROUP BY {keys}, phase)""")
+    return f"WITH {', '.join(ctes)} SELECT {keys}, date, sales, trend, seasonal, residual, w AS weight FROM r{rounds}"
+
+
+@query("decompose_robust", robust_sql(2), ("panel",), six("trend", "seasonal", "residual", "weight"))
+def decompose_robust(spark: SparkSession, sf_dir: str) -> DataFrame:
+    panel = medallion.silver(spark, sf_dir).select(*KEYS, "date", "sales")
+    return forecast.decompose_robust(panel, KEYS, "date", "sales")
+
+
 # ---- global model
 
 TREE_FEATURES = [

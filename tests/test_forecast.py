@@ -128,3 +128,61 @@ def test_trees_predict_and_rank(spark):
     assert top.feature == "a" and top.importance > 0.9
     scored = models.predict(model, df)
     assert "features" not in scored.columns and scored.agg(F.min("yhat")).first()[0] >= 0
+
+
+def test_multiplicative_seasons_scale_with_the_trend(spark):
+    n = 600
+    truth = lambda i: (20 + 0.1 * i) * (1 + 0.4 * np.sin(2 * np.pi * i / 7))
+    h = history(spark, [(i, truth(i)) for i in range(n)])
+    errors = {}
+    for kind in (False, True):
+        model = forecast.SeasonalModel(multiplicative=kind, changes=10, ridge=1e-3, change_ridge=0.1)
+        got = forecast.seasonal_regression(h, ["k"], "date", "v", 14, model=model).orderBy("ds").collect()
+        errors[kind] = max(abs(r.yhat - truth(n + i)) / truth(n + i) for i, r in enumerate(got))
+        assert all(0 <= r.yhat_lower <= r.yhat <= r.yhat_upper for r in got)
+    assert errors[True] < 0.06 < errors[False]
+
+
+@pytest.mark.parametrize("multiplicative", [False, True])
+def test_fits_have_the_sum_of_the_observations(spark, multiplicative):
+    rng = np.random.default_rng(3)
+    values = [(i, None if i % 17 == 0 else float(v)) for i, v in enumerate(rng.poisson(3, 300))]
+    h = history(spark, values).unionByName(history(spark, [(0, 1.0)], "short")).unionByName(history(spark, [(0, 0.0), (1, 0.0)], "zero"))
+    rows = forecast.seasonal_fitted(h, ["k"], "date", "v", model=forecast.SeasonalModel(multiplicative=multiplicative, changes=5)).collect()
+    assert sum(r.fitted for r in rows if r.k == "s" and r.v is not None) == pytest.approx(sum(v for _, v in values if v is not None))
+    assert all(r.fitted is None for r in rows if r.v is None or r.k == "short")
+    assert [r.fitted for r in rows if r.k == "zero"] == pytest.approx([0, 0], abs=1e-9)
+
+
+def test_a_planted_change_of_slope_is_found():
+    days = np.arange(1500.0)
+    y = 1000 + 0.5 * days - 1.5 * np.maximum(0, days - 600) + np.random.default_rng(1).normal(0, 1, 1500)
+    none = np.zeros((1500, 0))
+    fit = forecast.SeasonalModel(changes=20, change_ridge=1e-3, ridge=1e-3).fit(days, y, none)
+    at, size = min(fit.slopes(), key=lambda s: s[1])
+    assert abs(at - 600) <= 60 and sum(s for a, s in fit.slopes() if 450 < a < 750) == pytest.approx(-1.5, abs=0.25)
+    assert fit.spread < 0.2 * forecast.SeasonalModel().fit(days, y, none).spread
+
+
+def test_an_outlier_moves_no_neighbour_of_a_robust_decomposition(spark):
+    rng = np.random.default_rng(5)
+    clean = [(i, float(20 + 0.1 * i + 4 * (i % 7 == 2) + rng.normal())) for i in range(140)]
+    wild = [(i, v + 500 * (i == 70)) for i, v in clean]
+    parts = {}
+    for name, values in (("clean", clean), ("wild", wild)):
+        h = history(spark, values)
+        parts[name] = [{(r.date - D0).days: r.trend for r in f(h, ["k"], "date", "v").collect()} for f in (forecast.decompose, forecast.decompose_robust)]
+    near = [i for i in range(67, 74) if i != 70]
+    moved = [max(abs(parts["wild"][k][i] - parts["clean"][k][i]) for i in near) for k in (0, 1)]
+    assert moved[1] < 0.05 * moved[0]
+
+
+def test_robust_parts_add_up_and_bear_nulls(spark):
+    h = history(spark, [(i, None if i in (3, 50) else float(i % 7)) for i in range(60)]).unionByName(history(spark, [(i, None) for i in range(9)], "none")).unionByName(history(spark, [(0, 1.0)], "one"))
+    rows = forecast.decompose_robust(h, ["k"], "date", "v").collect()
+    assert len(rows) == 70
+    for r in rows:
+        if r.v is None:
+            assert r.residual is None
+        else:
+            assert r.v == pytest.approx(r.trend + r.seasonal + r.residual, abs=1e-9)
