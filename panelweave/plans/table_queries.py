@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from panelweave.operators import joins, reshape
 from panelweave.plans import medallion
 from panelweave.plans.registry import query, six
-from panelweave.session import fresh_path
-from panelweave.sources import retail, tables
+from panelweave.session import fresh_path, measured
+from panelweave.sources import layout, retail, tables
 from panelweave.sources.retail import IDS, KEYS
 
 SLICE = {"item_id": "PROMO", "store_id": "NATION_3"}
@@ -59,6 +59,53 @@ def sink_clustered_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.read_table(spark, path)
 
 
+ZORDER = ["item_id", "store_id", "date"]
+
+
+def zordered(spark: SparkSession, sf_dir: str, row_group_bytes: int | None = None) -> str:
+    path = fresh_path(spark, "panel_zordered")
+    panel = medallion.silver(spark, sf_dir).select(*IDS, "d", "date", "sales")
+    layout.write_zordered(panel, path, ZORDER, row_group_bytes=row_group_bytes)
+    return path
+
+
+@query("sink_zordered_roundtrip", PANEL_SQL, ("panel",))
+def sink_zordered_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The panel in Z-order of product, store and day."""
+    return tables.read_table(spark, zordered(spark, sf_dir))
+
+
+@query(
+    "layout_skipping",
+    """SELECT probe, n_rows, true AS zorder_skips, probe <> 'date' AS sorted_skips FROM (
+         SELECT 'item_id' AS probe, count(*) AS n_rows FROM panel WHERE item_id = (SELECT max(item_id) FROM panel)
+         UNION ALL SELECT 'store_id', count(*) FROM panel WHERE store_id = (SELECT max(store_id) FROM panel)
+         UNION ALL SELECT 'date', count(*) FROM panel WHERE date = (SELECT max(date) - 400 FROM panel))""",
+    ("panel",),
+)
+def layout_skipping(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of one product, one store and one day, found in the Z-ordered files, and whether the row
+    groups that may hold them are fewer than half, there and in files sorted by series and day."""
+    panel = medallion.silver(spark, sf_dir).select(*IDS, "d", "date", "sales")
+    by_series = fresh_path(spark, "panel_sorted")
+    small = 1 << 17  # a table of this size has few row groups otherwise
+    ordered = panel.repartitionByRange(*ZORDER).sortWithinPartitions(*ZORDER)
+    ordered.write.option("parquet.block.size", small).parquet(by_series)
+    z = zordered(spark, sf_dir, small)
+    found = tables.read_table(spark, z)
+    groups = {"zorder": layout.row_groups(spark, z, ZORDER), "sorted": layout.row_groups(spark, by_series, ZORDER)}
+    wanted = {"item_id": F.max("item_id"), "store_id": F.max("store_id"), "date": F.date_sub(F.max("date"), 400)}
+    out = None
+    for c, pick in wanted.items():
+        value = measured(panel.agg(pick.alias(c))).scalar()
+        row = found.filter(F.col(c) == value).agg(F.lit(c).alias("probe"), F.count(F.lit(1)).alias("n_rows"))
+        for name, table in groups.items():
+            few = layout.groups_read(table, c, value).select((F.col("groups_read") * 2 < F.col("n_groups")).alias("few"))
+            row = row.withColumn(f"{name}_skips", measured(few).scalar())
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
 @query(
     "split_tables",
     """SELECT split, cat_id, count(*) AS n_rows, sum(sales) AS total_sales, min(date) AS first_date, max(date) AS last_date
