@@ -141,9 +141,13 @@ def summary(results: DataFrame) -> DataFrame:
 class QualityGateError(ValueError):
     """At least one expectation was not met."""
 
+    def __init__(self, failed: list[str]):
+        super().__init__(f"{len(failed)} checks failed: {', '.join(failed)}")
+        self.n_failed = len(failed)
+
 
 def gate(results: DataFrame) -> None:
     """Raise when a check failed. ``results`` has one row per check."""
     failed = [f"{r['expectation']}({r['column_name']})" for r in failures(results).collect()]
     if failed:
-        raise QualityGateError(f"{len(failed)} checks failed: {', '.join(failed)}")
+        raise QualityGateError(failed)

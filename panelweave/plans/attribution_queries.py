@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelweave.functions.columns import non_negative
-from panelweave.operators import attribution, models, tree_attribution, whatif
+from panelweave.operators import attribution, boosting, models, tree_attribution, whatif
 from panelweave.operators.whatif import Change, interpret
 from panelweave.plans.forecast_queries import (
     LINEAR_INTERCEPT,
@@ -20,6 +20,7 @@ from panelweave.plans.forecast_queries import (
     trees,
 )
 from panelweave.plans.registry import query, six
+from panelweave.session import measured
 from panelweave.sources.retail import KEYS, SNAPS
 
 ROW = [*KEYS, "date"]
@@ -257,3 +258,76 @@ def attribution_trees_sums(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = trees(spark, sf_dir).transform(told)
     same = (F.abs(F.col("prediction") - total) < 1e-6) & (F.abs(F.col("prediction") - F.col("told")) < 1e-6)
     return scored.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("n_rows"), F.count_if(same).alias("n_adding_up"))
+
+
+# ---- what must hold for the fitted models, whatever was fitted
+
+
+MOMENT_FEATURES = ["lag_1", "lag_28", "roll_mean_28", "day_of_week", "snap_A", "te_store_id"]
+
+
+@query(
+    "regression_moments",
+    "WITH c AS (SELECT * FROM gold WHERE split = 'train' AND roll_std_7 IS NOT NULL) SELECT * FROM ("
+    + " UNION ALL ".join(f"SELECT '{f}' AS feature, sum(sales * {f}) / sum({f} * {f}) AS moment FROM c" for f in MOMENT_FEATURES)
+    + " UNION ALL SELECT '(one)', avg(sales) FROM c)",
+    ("gold",),
+    {"moment": 4},
+)
+def regression_moments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Least squares leaves residuals that no feature explains: sums of fit times feature are those
+    of value times feature."""
+    weights, intercept = regression(spark, sf_dir)
+    rows = model_rows(train(spark, sf_dir)).select("sales", *TREE_FEATURES).dropna()
+    fitted = rows.withColumn("fit", attribution.linear_score(weights, intercept))
+    sums = fitted.agg(*[(F.sum(F.col("fit") * F.col(f)) / F.sum(F.col(f) * F.col(f))).alias(f) for f in MOMENT_FEATURES], F.avg("fit").alias("(one)"))
+    return sums.unpivot([], [*MOMENT_FEATURES, "(one)"], "feature", "moment")
+
+
+@query("importance_totals", "SELECT 'gbt' AS model, CAST(22 AS BIGINT) AS n_features, true AS sums_to_one, true AS none_negative, count(*) >= 0 AS ordered FROM gold", ("gold",))
+def importance_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Importances are shares: one per feature, none negative, and in falling order."""
+    table = models.importances(trees(spark, sf_dir), TREE_FEATURES)
+    listed = [r["importance"] for r in table.collect()]  # a row per feature
+    falling = all(a >= b for a, b in zip(listed, listed[1:]))
+    return table.agg(
+        F.lit("gbt").alias("model"), F.count_distinct("feature").alias("n_features"), (F.abs(F.sum("importance") - 1) < 1e-9).alias("sums_to_one"),
+        (F.min("importance") >= 0).alias("none_negative"), F.lit(falling).alias("ordered"),
+    )
+
+
+@query(
+    "first_tree_totals",
+    "SELECT count(*) AS n_rows, sum(sales) AS total FROM gold WHERE split = 'train' AND roll_std_7 IS NOT NULL",
+    ("gold",),
+    {"total": 3},
+)
+def first_tree_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One tree on all rows: its leaves are means, so predictions have the sum of the values."""
+    rows = model_rows(train(spark, sf_dir))
+    one = boosting.boost(rows, TREE_FEATURES, "sales", F.lit(False), rounds=1, params=boosting.TreeParams(row_share=1.0))
+    scored = one.model.transform(rows.select("sales", *TREE_FEATURES).dropna())
+    return scored.agg(F.count(F.lit(1)).alias("n_rows"), F.sum("prediction").alias("total"))
+
+
+@query(
+    "scenario_baselines",
+    """SELECT 'scenarios' AS source, count(*) AS n_rows, true AS baseline_is_mean_forecast FROM gold WHERE split = 'test'
+       UNION ALL SELECT 'sweep', count(*), true FROM gold WHERE split = 'test'
+       UNION ALL SELECT 'what_if', count(*), true FROM gold WHERE split = 'test'""",
+    ("gold",),
+)
+def scenario_baselines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The baselines of the scenarios, the sweep and the what-if are the model's own forecasts."""
+    scored = tree_scorer(spark, sf_dir)(tree_rows(spark, sf_dir)).agg(F.avg("yhat").alias("own"), F.count(F.lit(1)).alias("n_rows"))
+    own = measured(scored)
+    baselines = {
+        "scenarios": what_if_scenarios(spark, sf_dir).filter("scenario = 'baseline'").select(F.col("mean_forecast").alias("told")),
+        "sweep": scenario_sweep(spark, sf_dir).filter("scenario = 'baseline'").select(F.col("mean_forecast").alias("told")),
+        "what_if": what_if(spark, sf_dir).agg(F.avg("baseline").alias("told")),
+    }
+    out = None
+    for name, told in baselines.items():
+        row = told.select(F.lit(name).alias("source"), own.select("n_rows").scalar().alias("n_rows"), (F.abs(F.col("told") - own.select("own").scalar()) < 1e-6).alias("baseline_is_mean_forecast"))
+        out = row if out is None else out.unionByName(row)
+    return out

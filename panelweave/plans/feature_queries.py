@@ -11,6 +11,7 @@ from panelweave.operators import encodings, explore, features, quality, reshape
 from panelweave.plans import medallion
 from panelweave.plans.medallion import ENCODED, EVENT, LAG_COLUMNS, ROLL_COLUMNS
 from panelweave.plans.registry import query, six
+from panelweave.session import measured
 from panelweave.sources import retail
 from panelweave.sources.retail import KEYS
 
@@ -415,16 +416,45 @@ def dq_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.summary(results(spark, sf_dir))
 
 
+# The columns of the raw order lines, in order.
+LINE_COLUMNS = (
+    "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate",
+)
+
+
+def schema_sql(no: int, columns: tuple[str, ...]) -> str:
+    names = ",".join(columns)
+    same = f"(SELECT string_agg(column_name, ',') FROM (DESCRIBE lineitem)) = '{names}'"
+    return (
+        f"SELECT CAST({no} AS INTEGER) AS check_no, 'columns' AS expectation, '{names}' AS column_name, count(*) AS element_count, "
+        f"CAST(0 AS BIGINT) AS unexpected_count, CAST(NULL AS DOUBLE) AS observed_mean, {same} AS success FROM lineitem"
+    )
+
+
+@query("dq_schema", f"{schema_sql(1, LINE_COLUMNS)} UNION ALL {schema_sql(2, LINE_COLUMNS[::-1])}")
+def dq_schema(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ordered column list of the raw order lines, and the same list in the wrong order."""
+    lines = retail.raw(spark, sf_dir, "lineitem")
+    return quality.check(lines, [quality.columns_match(*LINE_COLUMNS), quality.columns_match(*LINE_COLUMNS[::-1])])
+
+
 @query(
-    "dq_schema",
-    "SELECT CAST(1 AS INTEGER) AS check_no, 'columns' AS expectation, 'item_id,store_id,date,sales' AS column_name, "
-    "count(*) AS element_count, CAST(0 AS BIGINT) AS unexpected_count, CAST(NULL AS DOUBLE) AS observed_mean, true AS success FROM panel",
-    ("panel",),
+    "dq_gate",
+    f"""SELECT 'all' AS checks, count(*) FILTER (NOT success) > 0 AS raised, count(*) FILTER (NOT success) AS n_failed FROM ({CHECKS_SQL})
+        UNION ALL SELECT 'met', false, CAST(0 AS BIGINT) FROM ({CHECKS_SQL}) WHERE success HAVING count(*) > 0""",
+    ("gold",),
 )
-def dq_schema(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The ordered column list of a projection."""
-    df = base(spark, sf_dir, "sales")
-    return quality.check(df, [quality.columns_match(*KEYS, "date", "sales")])
+def dq_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether the gate stops the job: for all checks, and for those that are met."""
+    found = measured(results(spark, sf_dir))
+    rows = []
+    for name, part in (("all", found), ("met", found.filter("success"))):
+        try:
+            quality.gate(part)
+            rows.append((name, False, 0))
+        except quality.QualityGateError as stop:
+            rows.append((name, True, stop.n_failed))
+    return spark.createDataFrame(rows, "checks string, raised boolean, n_failed long")
 
 
 @query(
