@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -36,6 +36,20 @@ def discard(*frames: DataFrame) -> None:
         frames[0].sparkSession._jvm.System.gc()
 
 
+def apart(docs: DataFrame, needed: Sequence[str], operator: Callable[[DataFrame], DataFrame], replaced: Sequence[str] = ()) -> DataFrame:
+    """Run an operator that carries all columns along, with every column it has no use for under a
+    neutral name, so that no name a user may choose meets one that the operator works with. The
+    columns come back under their own names, those of ``replaced`` only as the operator makes
+    them."""
+    others = [c for c in docs.columns if c not in needed and c not in replaced]
+    neutral = {c: f"carried {i}" for i, c in enumerate(others)}
+    named = lambda c: F.col("`" + c.replace("`", "``") + "`")
+    out = operator(docs.select(*[named(c) for c in needed], *[named(c).alias(n) for c, n in neutral.items()]))
+    kept = {c: neutral.get(c, c) for c in docs.columns if c not in replaced and neutral.get(c, c) in out.columns}
+    made = [c for c in out.columns if c not in kept.values()]
+    return out.select(*[named(n).alias(c) for c, n in kept.items()], *[named(c) for c in made])
+
+
 def id_crc(column: str = "doc_id") -> Column:
     """CRC-32 of the id as decimal text; a null id counts as an empty text."""
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary"))

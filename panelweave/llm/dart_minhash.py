@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelweave.llm.corpus import discard, settled
+from panelweave.llm.corpus import apart, discard, settled
 from panelweave.llm.graph import components
 from panelweave.llm.texts import blocks, mix, occurrences, runs_within, shingles, utf8, words
 
@@ -216,7 +216,11 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
 
 def one_of_each(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """The row of each class with the least doc_id (then key); null ids come last. Of rows with
-    equal id and text one stays. Rows keep their columns."""
+    equal id and text one stays. Rows keep their columns, whatever their names."""
+    return apart(docs, ["doc_id", "text"], lambda d: _one_of_each(d, similarity))
+
+
+def _one_of_each(docs: DataFrame, similarity: float) -> DataFrame:
     order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "key")
     chosen = classes(docs, similarity).groupBy("class").agg(F.min(order).alias("one")).select(
         F.coalesce("one.doc_id", F.lit(-1).cast("long")).alias("_id"), F.coalesce("one.key", F.lit("")).alias("_key"), F.col("one.doc_id").isNull().alias("_none")
@@ -225,4 +229,4 @@ def one_of_each(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
         {"_id": F.coalesce("doc_id", F.lit(-1).cast("long")), "_key": F.coalesce(F.md5("text"), F.lit("")), "_none": F.col("doc_id").isNull()}
     )
     keys = ["_id", "_key", "_none"]
-    return keyed.join(chosen, keys, "left_semi").dropDuplicates(keys).select(*docs.columns)
+    return keyed.join(chosen, keys, "left_semi").dropDuplicates(keys).drop(*keys)

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelweave.llm.corpus import id_crc
+from panelweave.llm.corpus import apart, id_crc
 from panelweave.llm.texts import blocks, utf8
 
 LENGTH = 256  # bytes of a window
@@ -162,6 +162,10 @@ def predict(docs: DataFrame, net: ByteNet | None, text: str = "text") -> DataFra
     there is no network. Narrow; windows go through the network a few hundred at a time, so a
     very long text needs no more memory than its windows. Columns of these names are replaced.
     """
+    return apart(docs, [text], lambda d: _predict(d, net, text), ("lang_pred", "score"))
+
+
+def _predict(docs: DataFrame, net: ByteNet | None, text: str) -> DataFrame:
     stay = [c for c in docs.columns if c not in ("lang_pred", "score")]
     letters = F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False))
     source = docs.select(*stay, letters.alias("_letters"))

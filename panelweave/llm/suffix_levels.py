@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelweave.llm.corpus import discard, settled
+from panelweave.llm.corpus import apart, discard, settled
 from panelweave.llm.fingerprints import gram_hashes
 from panelweave.llm.texts import blocks, utf8
 
@@ -148,6 +148,9 @@ def _joined(runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
+MADE = ("n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text")
+
+
 def cut_repeats(docs: DataFrame, length: int, batches: int = BATCHES, keep_text: bool = False) -> DataFrame:
     """Cut every byte that a string of ``length`` bytes covers which also begins anywhere else.
 
@@ -166,8 +169,11 @@ def cut_repeats(docs: DataFrame, length: int, batches: int = BATCHES, keep_text:
        the same head; a string that runs over a head that is not repeated needs no count. No
        pair of places is ever formed.
     """
-    shape = Shape(length)
-    made = ("n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text")
+    return apart(docs, ["doc_id", "text"], lambda d: _cut_repeats(d, length, batches, keep_text), MADE)
+
+
+def _cut_repeats(docs: DataFrame, length: int, batches: int, keep_text: bool) -> DataFrame:
+    shape, made = Shape(length), MADE
     stay = [c for c in docs.columns if c not in made and (keep_text or c == "doc_id")]
     # keys without nulls: a null id has its own checksum range
     crc = F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")) + F.when(F.col("doc_id").isNull(), F.lit(1 << 33)).otherwise(F.lit(0))
