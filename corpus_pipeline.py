@@ -11,10 +11,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelweave.llm import dart_minhash, quality, semantic_leaks, sentencepiece_codec, suffix_levels
-from panelweave.llm.corpus import discard, settled, table
+from panelweave.llm.corpus import apart, discard, settled, table
 from panelweave.llm.queries import tokenizer_model
 
-REPEATED_BYTES = 200  # a passage of fifty words is longer
+REPEATED_BYTES = 200  # 99.5 % of the runs of 51 words of the test tables are longer; a shorter passage is not cut
 
 _left: list[DataFrame] = []
 
@@ -25,36 +25,52 @@ def _sweep() -> None:
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Reject what does not resemble the labelled good documents."""
+    """Reject what does not resemble the labelled good documents. Null and empty texts stay, and so
+    do repeated rows, each by its own draw."""
     _left.clear()  # of a run that ended early
-    sampled = quality.importance_sample(docs, table(spark, sf_dir, "labels"))
-    _left.append(sampled)
-    return sampled.filter("keep").select(*docs.columns)
+
+    def sample(rows: DataFrame) -> DataFrame:
+        sampled = quality.importance_sample(rows, table(spark, sf_dir, "labels"))
+        _left.append(sampled)
+        return sampled.filter("keep").drop("log_weight", "gumbel_key", "keep")
+
+    return apart(docs, [c for c in ("doc_id", "text", "lang") if c in docs.columns], sample)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near-duplicates."""
+    """One document of each class of near-duplicates. Null texts are near nothing; of repeated rows,
+    and of texts without a word that are equal, one stays."""
     _sweep()
     return dart_minhash.one_of_each(docs)
 
 
 def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Cut passages that stand anywhere else; a document of which no word is left goes."""
-    cut = suffix_levels.cut_repeats(docs, REPEATED_BYTES, keep_text=True)
-    whole = F.col("n_removed") == 0
-    left = cut.filter(whole | F.col("kept_text").rlike("[\\p{L}\\p{N}]"))
-    new = {"text": F.when(whole, F.col("text")).otherwise(F.col("kept_text")), "n_chars": F.when(whole, F.col("n_chars")).otherwise(F.length("kept_text").cast("long"))}
-    return left.withColumns({c: v for c, v in new.items() if c in docs.columns}).select(*docs.columns)
+    """Cut passages that stand anywhere else; a document of which no word is left goes. Null, empty
+    and uncut texts stay as they are."""
+
+    def cut(rows: DataFrame) -> DataFrame:
+        cut = suffix_levels.cut_repeats(rows, REPEATED_BYTES, keep_text=True)
+        whole = F.col("n_removed") == 0
+        left = cut.filter(whole | F.col("kept_text").rlike("[\\p{L}\\p{N}]"))
+        new = {"text": F.when(whole, F.col("text")).otherwise(F.col("kept_text")), "n_chars": F.when(whole, F.col("n_chars")).otherwise(F.length("kept_text").cast("long"))}
+        return left.withColumns({c: v for c, v in new.items() if c in rows.columns}).drop(*suffix_levels.MADE)
+
+    return apart(docs, [c for c in ("doc_id", "text", "n_chars") if c in docs.columns], cut)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents that hold a benchmark item. Rows are told apart by id and text."""
-    row = F.xxhash64("doc_id", "text")
-    words = settled(semantic_leaks.tokenised(docs.select(row.alias("doc_id"), "text")), "words")
-    found = semantic_leaks.leaks(docs, table(spark, sf_dir, "benchmark"), tokens=words)
-    leaking = settled(found.select(F.col("doc_id").alias("_row")).distinct(), "leaking")
-    discard(words)
-    return docs.join(leaking, row == F.col("_row"), "left_anti")
+    """Drop documents that hold a benchmark item. Rows are told apart by id and text; null and empty
+    texts hold none."""
+
+    def drop(rows: DataFrame) -> DataFrame:
+        row = F.xxhash64("doc_id", "text")
+        words = settled(semantic_leaks.tokenised(rows.select(row.alias("doc_id"), "text")), "words")
+        found = semantic_leaks.leaks(rows, table(spark, sf_dir, "benchmark"), tokens=words)
+        leaking = settled(found.select(F.col("doc_id").alias("_row")).distinct(), "leaking")
+        discard(words)
+        return rows.join(leaking, row == F.col("_row"), "left_anti")
+
+    return apart(docs, ["doc_id", "text"], drop)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
