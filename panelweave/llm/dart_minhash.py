@@ -16,11 +16,7 @@ from panelweave.llm.texts import blocks, mix, occurrences, runs_within, shingles
 SHINGLE = 5  # words
 SIMILARITY = 0.8
 BANDS, ROWS = 32, 5  # a pair at similarity 0.8 shares no band with probability (1 - 0.8^5)^32 = 3e-6
-SKETCH = 10  # longs of 16 nibbles: four bits of each signature coordinate
-# Bound on disagreeing nibbles of a pair at the similarity threshold: 160 coordinates differ with
-# probability (1 - 0.8) * 15/16, mean 30, deviation 4.9; six deviations above are 60, which a pair
-# passes with probability 8e-9, far less than the bands lose.
-MOST_DIFFERENT = 60
+SKETCH_BITS = 1024  # parities of the elements of a text, by hash
 _POISSON = np.cumsum([np.exp(-1.0) / f for f in (1, 1, 2, 6, 24, 120, 720, 5040, 40320, 362880, 3628800)])
 
 
@@ -71,9 +67,20 @@ def dart_signatures(values: np.ndarray, owner: np.ndarray, n: int, k: int) -> np
     return best
 
 
+def parities(values: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
+    """Per set, for each of ``SKETCH_BITS`` classes of elements whether their number is odd, as longs.
+
+    Where the parities of two sets differ, an element of the class is in one of them only. So the
+    sets differ in no fewer elements than their parities do: a bound that never errs.
+    """
+    at = owner * SKETCH_BITS + (mix(values + np.uint64(0x5EED)) % np.uint64(SKETCH_BITS)).astype(np.int64)
+    odd = (np.bincount(at, minlength=n * SKETCH_BITS) & 1).astype(bool)
+    return np.packbits(odd.reshape(n, SKETCH_BITS), axis=1).view(np.int64)
+
+
 def signature_rows(texts: DataFrame, k: int, bands: int, size: int = SHINGLE) -> DataFrame:
-    """Per row of (key, text): number of elements, one hash per band, and a sketch of four bits
-    per coordinate. Texts without a word have no row."""
+    """Per row of (key, text): number of elements, one hash per band, and the parities of its
+    elements. Texts without a word have no row."""
     names = ["key", "elements", "bands", "sketch"]
 
     def sign(batches) -> Iterator[pa.RecordBatch]:
@@ -87,10 +94,8 @@ def signature_rows(texts: DataFrame, k: int, bands: int, size: int = SHINGLE) ->
             band = np.zeros((len(have), bands), np.uint64)
             for j in range(r):
                 band = mix(band + marks[:, j::r][:, :bands])
-            nibbles = np.zeros((len(have), -(-k // 16) * 16), np.uint64)
-            nibbles[:, :k] = marks >> np.uint64(60)
-            packed = (nibbles.reshape(len(have), -1, 16) << (np.arange(16, dtype=np.uint64) * np.uint64(4))).sum(axis=2, dtype=np.uint64)
-            lists = [pa.array(list(x.view(np.int64)), pa.list_(pa.int64())) for x in (band, packed)]
+            sketch = parities(values, owner, batch.num_rows)[have]
+            lists = [pa.array(list(x.view(np.int64)), pa.list_(pa.int64())) for x in (band, sketch)]
             yield pa.RecordBatch.from_arrays([batch.column("key").take(pa.array(have)), pa.array(np.diff(bounds)[have]), *lists], names=names)
 
     return texts.select("key", "text").mapInArrow(sign, "key string, elements bigint, bands array<bigint>, sketch array<bigint>")
@@ -127,12 +132,12 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY, size: int = SHINGLE
     company over all its bands, and verified; then each bucket compares only nodes that are
     still in different components, and of these only pairs
 
-    * whose sketches differ in no more places than a pair at the threshold can, and
+    * the parities of whose elements differ in no more classes than their elements can, and
     * that could share enough elements: in a large bucket, elements that no other node of any
       large bucket has do not count.
 
     Both bounds are conditions of the join, so what is discarded is never a row, and neither
-    loses a pair but by the sketch's six deviations. All remaining pairs are verified exactly.
+    can lose a pair. All remaining pairs are verified exactly.
 
     Returns doc_id, key (MD5 of the text, null for null) and class (a name) of each row. A text
     without a word is only near its equals; null texts stand alone, but for rows that share an
@@ -182,19 +187,16 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY, size: int = SHINGLE
     side = rest.select("bucket", "node", "company").join(facts, "node")
     a = side.select(*[F.col(c).alias(f"a_{c}") for c in side.columns])
     b = side.select(*[F.col(c).alias(f"b_{c}") for c in side.columns])
-    different = F.lit(0)
-    for i in range(-(-bands * rows // 16)):
-        x = F.col("a_sketch")[i].bitwiseXOR(F.col("b_sketch")[i])
-        x = x.bitwiseOR(F.shiftrightunsigned(x, 1))
-        x = x.bitwiseOR(F.shiftrightunsigned(x, 2))
-        different = different + F.bit_count(x.bitwiseAND(F.lit(0x1111111111111111)))
+    different = F.lit(0)  # elements that only one of the two has, at least
+    for i in range(SKETCH_BITS // 64):
+        different = different + F.bit_count(F.col("a_sketch")[i].bitwiseXOR(F.col("b_sketch")[i]))
     share = similarity / (1 + similarity)
     enough = lambda x, y: F.least(x, y) >= F.lit(share) * (F.col("a_elements") + F.col("b_elements")) - 1e-6
     condition = (
         (F.col("a_bucket") == F.col("b_bucket")) & (F.col("a_node") < F.col("b_node")) & (F.col("a_label") != F.col("b_label"))
         & enough(F.col("a_elements"), F.col("b_elements"))
         & ((F.col("a_company") <= 50) | enough(F.col("a_common"), F.col("b_common")))
-        & (different <= MOST_DIFFERENT)
+        & (different <= F.lit((1 - similarity) / (1 + similarity)) * (F.col("a_elements") + F.col("b_elements")) + 1e-6)
     )
     more = a.join(b, condition).select(F.col("a_node").alias("a"), F.col("b_node").alias("b")).distinct()
     pairs = settled(more, "pairs")

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 import random
 from collections import Counter
 
@@ -10,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 
 from panelweave.llm import dart_minhash
+from panelweave.llm.corpus import settled
 from panelweave.llm.dart_minhash import dart_signatures, near_duplicates, weighted_elements
 
 
@@ -108,7 +108,32 @@ def test_large_family_and_empty_table(spark):
     assert near_duplicates(df.limit(0)).count() == 0
 
 
-def test_the_sketch_loses_far_less_than_the_bands():
-    n, p = dart_minhash.BANDS * dart_minhash.ROWS, (1 - dart_minhash.SIMILARITY) * 15 / 16
-    beyond = sum(math.comb(n, i) * p**i * (1 - p) ** (n - i) for i in range(dart_minhash.MOST_DIFFERENT + 1, n + 1))
-    assert beyond < 0.01 * (1 - dart_minhash.SIMILARITY**dart_minhash.ROWS) ** dart_minhash.BANDS
+def test_parities_never_say_more_than_differs():
+    rng = np.random.default_rng(4)
+    for size, moved in [(1, 1), (30, 4), (150, 40), (900, 200), (6000, 900)]:
+        a = rng.integers(0, 1 << 63, size).astype(np.uint64)
+        b = np.concatenate([a[moved:], rng.integers(0, 1 << 63, moved).astype(np.uint64)])
+        x, y = (dart_minhash.parities(v, np.zeros(len(v), np.int64), 1)[0] for v in (a, b))
+        told = sum(int(i ^ j).bit_count() if i ^ j >= 0 else 64 - int(~(i ^ j)).bit_count() for i, j in zip(x.tolist(), y.tolist()))
+        assert told <= 2 * moved and (size > 200 or told > 0.6 * 2 * moved)
+
+
+def test_a_family_twice_as_large_makes_no_four_times_the_pairs(spark, monkeypatch):
+    """Near copies of one text that are not similar enough to each other never become rows."""
+    rng = random.Random(8)
+    vocabulary = [f"w{i}" for i in range(5000)]
+    base = rng.choices(vocabulary, k=150)
+    counted = {}
+    for n in (60, 120):
+        rows = []
+        for i in range(n):
+            words = list(base)
+            for at in rng.sample(range(150), 4):  # similarity to the base near 0.77, to each other near 0.6
+                words[at] = rng.choice(vocabulary)
+            rows.append((i, " ".join(words)))
+        made = {}
+        monkeypatch.setattr(dart_minhash, "settled", lambda df, name, keep=made: keep.setdefault(name, settled(df, name)) if name == "pairs" else settled(df, name))
+        monkeypatch.setattr(dart_minhash, "discard", lambda *frames: None)
+        dart_minhash.classes(spark.createDataFrame(rows, "doc_id bigint, text string"))
+        counted[n] = made["pairs"].count()
+    assert counted[120] < 3 * max(counted[60], 20)
