@@ -437,8 +437,8 @@ def explain_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("score_requests_fitted")
 def score_requests_fitted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same requests answered by the boosted trees and the regression over all series, with the
-    largest contribution of each step."""
+    """Steps answered by the boosted trees and the regression over all series, with the feature that adds
+    most to each. Requests with a bad horizon, which ``score_requests`` lists, have no step."""
     latest = newest_rows(spark, sf_dir)
     grown = tree_attribution.trees_of(spark, trees(spark, sf_dir).stages[-1])
     weights, intercept = regression(spark, sf_dir)
@@ -448,6 +448,6 @@ def score_requests_fitted(spark: SparkSession, sf_dir: str) -> DataFrame:
         requests.contribution_route("gbt", TREE_FEATURES, lambda df, keys: tree_attribution.tree_contributions(df, keys, TREE_FEATURES, grown)),
         requests.linear_route(measured(table), ("regression",)),
     ]
-    answers = requests.answer(asked(latest, ("gbt", "Regression")), latest, TREE_FEATURES, routes, features_ahead())
+    answers = requests.answer(asked(latest, ("gbt", "Regression")), latest, TREE_FEATURES, routes, features_ahead()).filter("status = 'ok'")
     most = F.array_max(F.transform(F.map_entries("contributions"), lambda e: F.struct(F.abs(e["value"]).alias("size"), e["key"].alias("feature"))))
-    return answers.select("request_id", "series_id", "model", "status", "step", "ds", "yhat", "base_value", most["feature"].alias("main_feature"))
+    return answers.select("request_id", "series_id", "model", "step", "ds", "yhat", "base_value", most["feature"].alias("main_feature"))
