@@ -10,7 +10,7 @@ from panelweave.plans import forecast_queries, medallion
 from panelweave.plans.forecast_queries import MODELS, all_forecasts, simple_forecasts, train
 from panelweave.plans.registry import query, six
 from panelweave.session import fresh_path, measured
-from panelweave.sources import tables
+from panelweave.sources import retail, tables
 from panelweave.sources.retail import HORIZON, KEYS
 
 DAY_KEYS = [*KEYS, "ds"]
@@ -288,12 +288,13 @@ def best_model(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "latest_run",
-    """SELECT DISTINCT run_id, run_name, status, CAST(start_millis AS BIGINT) AS start_millis FROM runs WHERE run_name LIKE '%ean28%'
-       AND start_millis = (SELECT max(start_millis) FROM runs WHERE run_name LIKE '%ean28%')""",
-    ("runs",),
+    """SELECT 'run-' || event_id AS run_id, event_type || '_' || user_id AS run_name,
+              CASE WHEN event_type = 'error' THEN 'FAILED' ELSE 'FINISHED' END AS status, epoch_us(ts) // 1000 AS start_millis
+       FROM events WHERE event_type || '_' || user_id LIKE 'purchase%7' ORDER BY epoch_us(ts) // 1000 DESC, 'run-' || event_id LIMIT 1""",
 )
 def latest_run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return leaderboard.latest_run(runs(spark, sf_dir), "%ean28%")
+    """The newest run of a family of names; which one it is, and when it began, is for the table to say."""
+    return leaderboard.latest_run(retail.run_log(spark, sf_dir), "purchase%7")
 
 
 @query(

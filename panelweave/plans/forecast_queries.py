@@ -231,7 +231,7 @@ def model_rows(df: DataFrame) -> DataFrame:
 
 def boosted(spark: SparkSession, sf_dir: str) -> boosting.Boosted:
     """The boosted trees of this application, fitted once and kept in the shared folder."""
-    key = (spark.sparkContext.applicationId, sf_dir)
+    key = (spark.sparkContext.applicationId, retail.source_key(spark, sf_dir))
     if key not in _fitted:
         path = fresh_path(spark, "trees")
         fit = boosting.boost(model_rows(train(spark, sf_dir)), TREE_FEATURES, "sales", newest_days())
@@ -251,7 +251,7 @@ _regression: dict[tuple[str, str], tuple[dict[str, float], float]] = {}
 def regression(spark: SparkSession, sf_dir: str) -> tuple[dict[str, float], float]:
     """Weights and intercept of a linear regression over all series and all model features, fitted
     once in an application."""
-    key = (spark.sparkContext.applicationId, sf_dir)
+    key = (spark.sparkContext.applicationId, retail.source_key(spark, sf_dir))
     if key not in _regression:
         model = models.fit_linear(model_rows(train(spark, sf_dir)), TREE_FEATURES, "sales")
         _regression[key] = models.linear_weights(model, TREE_FEATURES)

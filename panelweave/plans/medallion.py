@@ -1,13 +1,12 @@
 """The staged tables: daily facts, silver (enriched panel) and gold (features by split).
 
-Each is written once per application below the shared folder, bucketed by series, so that
-later plans start from files rather than from a long lineage. Only the sparse daily facts
+Each is written once per application and state of its source files below the shared folder,
+bucketed by series, so that later plans start from files rather than from a long lineage. Only the sparse daily facts
 are shuffled to their buckets; silver and gold rows are made, and written, in place.
 """
 
 from __future__ import annotations
 
-import hashlib
 import re
 from collections.abc import Callable
 
@@ -36,7 +35,7 @@ def _staged(
     placed: bool = True,
 ) -> DataFrame:
     configure(spark)
-    source = hashlib.md5(f"{sf_dir}|{by_brand}".encode()).hexdigest()[:10]
+    source = retail.source_key(spark, sf_dir) + ("_brand" if by_brand else "")
     name = f"panelweave_{stage}_{source}_{re.sub(r'[^0-9a-zA-Z]', '_', spark.sparkContext.applicationId)}"
     if spark.catalog.tableExists(name):
         return spark.table(name)

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelweave.functions.columns import iso_week_key
+from panelweave.sources.tables import content_key
 
 KEYS = ["item_id", "store_id"]
 IDS = ["item_id", "dept_id", "cat_id", "store_id", "state_id"]
@@ -59,6 +60,26 @@ def raw(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+FACT_TABLES = ("lineitem", "part", "supplier", "nation", "region")
+
+
+def source_key(spark: SparkSession, sf_dir: str) -> str:
+    """Tells the states of the tables that the panel is made from apart."""
+    return content_key(spark, *[f"{sf_dir}/{table}.parquet" for table in FACT_TABLES])
+
+
+def run_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The event table as a log of runs: a run per event, named by kind and user, started at its
+    time; errors are failed runs."""
+    millis = F.timestamp_diff("MILLISECOND", F.lit(dt.datetime(1970, 1, 1)).cast("timestamp_ntz"), F.col("ts").cast("timestamp_ntz"))
+    return raw(spark, sf_dir, "events").select(
+        F.concat(F.lit("run-"), F.col("event_id").cast("string")).alias("run_id"),
+        F.concat_ws("_", "event_type", F.col("user_id").cast("string")).alias("run_name"),
+        F.when(F.col("event_type") == "error", "FAILED").otherwise("FINISHED").alias("status"),
+        millis.alias("start_millis"),
+    )
+
+
 def _lookup(mapping: dict[str, str], key: Column) -> Column:
     return F.create_map(*[F.lit(x) for x in chain.from_iterable(mapping.items())])[key]
 

@@ -3,6 +3,7 @@ clustered and series-bucketed layouts."""
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -27,6 +28,20 @@ def read_table(spark: SparkSession, path: str, fmt: str = TABLE_FORMAT) -> DataF
     return spark.read.format(fmt).load(path)
 
 
+def content_key(spark: SparkSession, *paths: str) -> str:
+    """A digest of the files of tables, by path, size and time of change: another one as soon as a
+    table is rewritten or grows. Lists files, reads none."""
+    conf = spark._jsparkSession.sessionState().newHadoopConf()
+    seen = []
+    for path in paths:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        files = at.getFileSystem(conf).listFiles(at, True)
+        while files.hasNext():
+            status = files.next()
+            seen.append((status.getPath().toString(), status.getLen(), status.getModificationTime()))
+    return hashlib.md5(repr(sorted(seen)).encode()).hexdigest()[:12]
+
+
 def write_table(df: DataFrame, path: str, partition_by: Sequence[str] = (), fmt: str = TABLE_FORMAT) -> None:
     """Overwrite a table, its schema included; rows of a partition value may span files,
     so a value that holds most rows is still written by many tasks."""

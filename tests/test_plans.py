@@ -34,6 +34,18 @@ def test_staged_tables_have_one_file_per_bucket(spark, sf_dir):
     assert len(medallion.gold(spark, sf_dir).filter("split = 'val'").inputFiles()) <= 3 * n
 
 
+def test_rewritten_sources_give_new_stages(spark, sf_dir, tmp_path):
+    for name in retail.FACT_TABLES:
+        retail.raw(spark, sf_dir, name).write.parquet(f"{tmp_path}/{name}.parquet")
+    before = medallion.daily(spark, str(tmp_path))
+    assert medallion.daily(spark, str(tmp_path)).inputFiles() == before.inputFiles()
+    n_before, key = before.agg(F.sum("sales")).first()[0], retail.source_key(spark, str(tmp_path))
+    lines = retail.raw(spark, sf_dir, "lineitem")
+    lines.write.mode("append").parquet(f"{tmp_path}/lineitem.parquet")
+    assert retail.source_key(spark, str(tmp_path)) != key
+    assert medallion.daily(spark, str(tmp_path)).agg(F.sum("sales")).first()[0] == 2 * n_before
+
+
 def test_gold_moves_only_small_tables(spark, sf_dir):
     ops = operators(medallion.gold_plan(medallion.silver(spark, sf_dir)))
     assert "Exchange" not in ops and "SortMergeJoin" not in ops and ops.count("BroadcastHashJoin") == 6
