@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
@@ -11,6 +13,8 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from panelweave.llm.corpus import settled
+
 # Short notices of common licences, by family.
 TEMPLATES = [
     ("mit", "Released under the MIT License."),
@@ -23,6 +27,7 @@ TEMPLATES = [
     ("gpl", "This work is licensed under the GNU General Public License, version 3."),
     ("gpl", "You can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation"),
     ("lgpl", "This library is licensed under the GNU Lesser General Public License, version 2.1."),
+    ("lgpl", "You can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation"),
     ("agpl", "This work is licensed under the GNU Affero General Public License, version 3."),
     ("mpl", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
     ("cc-by", "Licensed under CC BY 4.0."),
@@ -44,11 +49,18 @@ STRANGE = [
     "This work is licensed under the terms agreed with the publisher.",
     "Use of this text is subject to a separate written agreement.",
     "Shared under the open harvest licence.",
+    "Released under the Harbour Commons License.",
+    "Licensed under the Blue Lantern License, Version 3.0.",
+    "This work is licensed under the Northern Archive Public License, version 2.",
+    "You may copy this text for private study under the terms of the Reading Room License.",
 ]
 
 NONE, UNKNOWN = "none", "unknown"
 FEATURES = 1 << 14
 SAMPLE = 4_000  # bound of the corpus paragraphs for training, and again for calibration
+DOCUMENTS = 4  # documents that are read for each sampled paragraph
+# A line that ends a sentence, and a line without letter or digit, end a paragraph; other line ends are wraps.
+PARAGRAPH_END = "(?<=[.!?\\u3002\\uff01\\uff1f][\"')\\]]{0,2}[ \\t\\r]{0,4})\\n|\\n(?=[^\\p{L}\\p{N}\\n]*(?:\\n|$))"
 CONFIRMED = 0.6  # share of a template's n-grams that its paragraph has
 
 
@@ -66,8 +78,10 @@ def template_grams(text: str) -> list[str]:
 
 
 def paragraphs(docs: DataFrame) -> DataFrame:
-    """doc_id, number (from 0) and text of each line with a letter or digit, of whole texts."""
-    lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("paragraph", "line"))
+    """doc_id, number (from 0) and text (``line``) of each paragraph with a letter or digit, of
+    whole texts. Wrapped lines are one paragraph: a line end counts only after the end of a
+    sentence and beside a line without letters and digits."""
+    lines = docs.select("doc_id", F.posexplode(F.split("text", PARAGRAPH_END)).alias("paragraph", "line"))
     return lines.filter(F.col("line").rlike("[\\p{L}\\p{N}]"))
 
 
@@ -82,10 +96,16 @@ def best_match(found: Column, family: Column) -> Column:
     return F.coalesce(F.array_max(F.transform(own, lambda t: F.size(F.array_intersect(t["grams"], found)) / F.size(t["grams"]))), F.lit(0.0))
 
 
+def once(df: DataFrame, **columns: Column) -> DataFrame:
+    """Add columns that are worked out once a row, however many others are made from them: they
+    pass a generator, across which the optimiser does not copy expressions."""
+    return df.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
+
+
 @dataclass
 class LicenceModel:
-    """Logistic regression over hashed n-grams, its classes, and the least probability that
-    held-out paragraphs of no known licence never reach."""
+    """Logistic regression over hashed n-grams, its classes, and the calibrated least probability
+    of a family that is not ``unknown``."""
 
     model: LogisticRegressionModel
     families: list[str]
@@ -94,8 +114,8 @@ class LicenceModel:
     def scored(self, lines: DataFrame) -> DataFrame:
         """Add grams, family (most probable class but ``none``), its probability, and that of any
         licence at all."""
-        hashed = HashingTF(numFeatures=FEATURES, binary=True, inputCol="grams", outputCol="_features").transform(lines.withColumn("grams", grams(F.col("line"))))
-        got = self.model.transform(hashed).withColumn("_p", vector_to_array("probability"))
+        hashed = HashingTF(numFeatures=FEATURES, binary=True, inputCol="grams", outputCol="_features").transform(once(lines, grams=grams(F.col("line"))))
+        got = once(self.model.transform(hashed), _p=vector_to_array("probability")).drop("_features", "probability")
         only = F.slice("_p", 2, len(self.families) - 1)  # the first class is none
         best = F.array_max(only)
         names = F.array(*map(F.lit, self.families[1:]))
@@ -103,42 +123,78 @@ class LicenceModel:
             got.withColumn("probability", best)
             .withColumn("family", F.element_at(names, F.array_position(only, best).cast("int")))
             .withColumn("licence_probability", 1 - F.col("_p")[0])
-            .drop("_p", "_features", "rawPrediction", "prediction")
+            .drop("_p")
         )
 
 
+def drawn(docs: DataFrame, sample: int) -> tuple[DataFrame, DataFrame]:
+    """Two samples of at most ``sample`` corpus paragraphs that resemble no template, in two hash
+    orders, of about ``DOCUMENTS`` times as many documents, picked by hash. So what the last
+    task merges does not grow with the corpus."""
+    n = docs.count()
+    share = min(1.0, DOCUMENTS * sample / n) if n else 1.0
+    parts = []
+    for seed in (1, 2):
+        some = docs.filter(F.pmod(F.xxhash64("doc_id", "text", F.lit(seed)), F.lit(1 << 30)) < F.lit(int(share * (1 << 30))))
+        part = paragraphs(some).orderBy(F.xxhash64("doc_id", "paragraph", F.lit(seed)), "line").limit(sample).select("line")
+        parts.append(part.filter(best_match(grams(F.col("line")), F.lit(None).cast("string")) < CONFIRMED))
+    return parts[0], parts[1]
+
+
+def among(lines: DataFrame, notices: list[tuple[str, str]]) -> DataFrame:
+    """Each paragraph with one of the notices, dealt by hash, before or after it."""
+    listed = F.array(*[F.struct(F.lit(f).alias("family"), F.lit(t).alias("notice")) for f, t in notices])
+    hashed = F.xxhash64("line")
+    dealt = lines.withColumn("_n", listed[F.pmod(hashed, F.lit(len(notices))).cast("int")])
+    both = F.when(F.pmod(F.shiftright(hashed, 32), F.lit(2)) == 0, F.concat_ws(" ", "line", "_n.notice")).otherwise(F.concat_ws(" ", "_n.notice", "line"))
+    return dealt.select(F.col("_n.family").alias("family"), both.alias("line"))
+
+
+def calibrated(known: Sequence[float], strange: Sequence[float]) -> float:
+    """The mark on the probability that tells known notices (above) from strange ones (not above)
+    with the fewest errors; the middle of the widest gap among equally good ones."""
+    steps = sorted({0.0, 1.0, *known, *strange})
+    known, strange = sorted(known), sorted(strange)
+    best = None
+    for low, high in zip(steps, steps[1:]):
+        errors = bisect_right(known, low) + len(strange) - bisect_right(strange, low)
+        if best is None or (errors, low - high) < best[0]:
+            best = (errors, low - high), (low + high) / 2
+    return best[1]
+
+
 def train(docs: DataFrame, sample: int = SAMPLE) -> LicenceModel:
-    """Fit on the templates with what may stand around them, and on two bounded samples of the
-    corpus paragraphs (the first ``sample`` each in two hash orders): one to learn what is no
-    licence, one, with strange licences, to calibrate the threshold of ``unknown``.
+    """Fit on the templates, alone, with what may stand around them and among paragraphs of a
+    bounded sample of the corpus, against those paragraphs by themselves.
 
-    Sampled paragraphs that resemble a template are left out of both.
+    A second sample calibrates the threshold of ``unknown``: templates, and licences of no known
+    family, among its paragraphs; the mark makes the fewest errors on the two. Both have at most
+    ``sample`` rows each, and of those only two numbers a row come to the driver. An empty corpus
+    leaves the templates and the strange licences by themselves.
     """
     spark = docs.sparkSession
     families = [NONE, *sorted({f for f, _ in TEMPLATES})]
-    lines = paragraphs(docs)
-    drawn = []
-    for seed in (1, 2):
-        part = lines.orderBy(F.xxhash64("doc_id", "paragraph", F.lit(seed)), "line").limit(sample).select("line")
-        drawn.append(part.filter(best_match(grams(F.col("line")), F.lit(None).cast("string")) < CONFIRMED))
+    learnt, held = drawn(docs, sample)
     known = _rows(spark, [(f, " ".join(x for x in (b, t, a) if x)) for f, t in TEMPLATES for b in BEFORE for a in AFTER])
-    plain = drawn[0].select(F.lit(NONE).alias("family"), "line").unionByName(_rows(spark, [(NONE, x) for x in [*BEFORE, *AFTER] if x]))
+    known = known.unionByName(among(learnt, TEMPLATES))
+    plain = learnt.select(F.lit(NONE).alias("family"), "line").unionByName(_rows(spark, [(NONE, x) for x in [*BEFORE, *AFTER] if x]))
     number = F.array_position(F.array(*map(F.lit, families)), F.col("family")).cast("double") - 1
     hashed = HashingTF(numFeatures=FEATURES, binary=True, inputCol="grams", outputCol="features").transform(known.unionByName(plain).withColumn("grams", grams(F.col("line"))))
     fit = LogisticRegression(featuresCol="features", labelCol="label", family="multinomial", regParam=0.001, maxIter=40)
-    model = fit.fit(hashed.select("features", number.alias("label")))
-    model.setFeaturesCol("_features")
+    model = fit.fit(settled(hashed.select("features", number.alias("label")), "notices"))
+    model.setFeaturesCol("_features").setRawPredictionCol("").setPredictionCol("")
     out = LicenceModel(model, families, 0.0)
-    strange = _rows(spark, [(UNKNOWN, x) for x in STRANGE]).select("line")
-    top = out.scored(drawn[1].unionByName(strange)).agg(F.max("probability")).first()[0]
-    out.threshold = min(max(0.5, top or 0.0), 0.95)
+    strange = [(UNKNOWN, x) for x in STRANGE]
+    trial = among(held, TEMPLATES).unionByName(among(held, strange)).unionByName(_rows(spark, strange)).withColumnRenamed("family", "meant")
+    seen = out.scored(trial).filter("meant = 'unknown' OR meant = family").select("probability", "meant").collect()
+    out.threshold = calibrated([r[0] for r in seen if r[1] != UNKNOWN], [r[0] for r in seen if r[1] == UNKNOWN])
     return out
 
 
 def scan(docs: DataFrame, model: LicenceModel) -> DataFrame:
     """Licence notices of all paragraphs of all whole texts.
 
-    A paragraph is a notice when its probability of being one is at least a half. It has the
+    A paragraph is a run of lines (see ``paragraphs``), so a wrapped notice is one. It is a notice when its probability of being one is at least a half. It has the
     family that the classifier names, if that is more probable than the calibrated threshold and
     a template of the family confirms it (has ``CONFIRMED`` of its n-grams in the paragraph); any
     other notice is ``unknown``.

@@ -112,6 +112,54 @@ def test_licence_families(spark):
     assert licences.scan(df.limit(0), model).count() == 0
 
 
+WRAPPED = {
+    "mit": """Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish and distribute copies of the Software.""",
+    "bsd": """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are
+met:""",
+    "gpl": """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version.""",
+    "lgpl": """This library is free software; you can redistribute it and/or
+modify it under the terms of the GNU Lesser General Public
+License as published by the Free Software Foundation; either
+version 2.1 of the License, or (at your option) any later version.""",
+}
+
+
+def test_wrapped_notices_are_one_paragraph(spark):
+    rng = random.Random(9)
+    prose = lambda: " ".join(rng.choice("the of and land sea river stone wind tree light".split()) for _ in range(12)) + "."
+    rows = [(i, "\n".join(prose() for _ in range(4))) for i in range(100, 160)]
+    for i, notice in enumerate(WRAPPED.values()):
+        rows.append((i, f"{prose()}\n{notice}\n\n{prose()}\n"))
+        rows.append((10 + i, f"Heading\n * \n * " + notice.replace("\n", "\n * ") + "\n *\n" + prose()))
+        rows.append((20 + i, prose() + "\n" + notice.replace("\n", "\r\n") + "\r\n\r\n" + prose()))
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = {(r["doc_id"], r["family"]) for r in licences.scan(df, licences.train(df)).collect()}
+    assert got == {(k + i, family) for k in (0, 10, 20) for i, family in enumerate(WRAPPED)}
+
+
+def test_paragraphs(spark):
+    texts = [None, "", "\n\n", "One.\nTwo\nthree!\n\nfour\n--\nfive \u3002\nsix", "a\n \n\nb\"\nc.\"\nd"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = [(r["doc_id"], " ".join(r["line"].split())) for r in licences.paragraphs(df).orderBy("doc_id", "paragraph").collect()]
+    assert got == [(3, "One."), (3, "Two three!"), (3, "four"), (3, "-- five \u3002"), (3, "six"), (4, "a"), (4, 'b" c."'), (4, "d")]
+
+
+def test_calibrated_mark_has_the_fewest_errors():
+    rng = random.Random(4)
+    for _ in range(50):
+        known = [rng.random() ** 0.5 for _ in range(rng.randint(0, 12))]
+        strange = [rng.random() ** 2 for _ in range(rng.randint(0, 12))]
+        errors = lambda t: sum(k <= t for k in known) + sum(s > t for s in strange)
+        assert errors(licences.calibrated(known, strange)) == min(map(errors, [0.0, *known, *strange]))
+
+
 def test_template_grams_are_those_of_sql(spark):
     from pyspark.sql import functions as F
 
