@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,7 +18,6 @@ from panelweave.llm.texts import blocks, mix, utf8, words
 BUCKETS = (1 << 14, 1 << 15, 1 << 3)
 ADDED = (5.0, 5.0, 1.0)  # to the counts of both models, in n-grams of the target
 TARGET_ROWS = 20_000  # bound of the labelled sample that stands for the target
-TOLERANCE = 13.0  # nats below even odds that still count as target-like when k is not given
 
 
 def features(column: pa.Array) -> tuple[np.ndarray, np.ndarray, int]:
@@ -29,7 +29,8 @@ def features(column: pa.Array) -> tuple[np.ndarray, np.ndarray, int]:
     repeats[1:] = (hashes[1:] == hashes[:-1]) & (owner[1:] == owner[:-1])
     shape = repeats.copy()
     for back in (1, 2):
-        shape[back:] += repeats[:-back] << back if len(shape) > back else 0
+        # only words of the same text, so that a weight does not depend on the text before
+        shape[back:] += (repeats[:-back] << back) * (owner[back:] == owner[:-back]) if len(shape) > back else 0
     found.append((shape + BUCKETS[0] + BUCKETS[1], owner))
     if len(data) > 2:
         wide = data.astype(np.uint32)
@@ -129,13 +130,33 @@ def weighed(docs: DataFrame, ratios: np.ndarray) -> DataFrame:
     return source.mapInArrow(score, schema).withColumn("gumbel_key", F.col("log_weight") - F.log(-F.log(uniform)))
 
 
+def good_count(scored: DataFrame, labels: DataFrame) -> int:
+    """How many of all documents are good, as the labels tell: rows are put into strata of similar
+    log weight, and each stratum has the share of quality 1 of its labelled rows (one without any:
+    the larger share of its labelled neighbours; no labels at all: 1). Rounded up.
+
+    Ids and qualities that are null say nothing; an id with several labels counts with their mean.
+    """
+    told = labels.filter("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id").agg(F.avg((F.col("quality") == 1).cast("double")).alias("_good"))
+    stratum = F.floor(F.asinh("log_weight")).alias("stratum")  # some 25 for any weight
+    rows = scored.select("doc_id", stratum).join(told, "doc_id", "left").groupBy("stratum")
+    strata = rows.agg(F.count(F.lit(1)).alias("n"), F.count("_good").alias("labelled"), F.sum("_good").alias("good")).collect()
+    shares = {r["stratum"]: r["good"] / r["labelled"] for r in strata if r["labelled"]}
+
+    def share(at: int) -> float:
+        below, above = [s for s in shares if s <= at], [s for s in shares if s >= at]
+        return max([shares[s] for s in (max(below, default=None), min(above, default=None)) if s is not None], default=1.0)
+
+    return math.ceil(round(sum(r["n"] * share(r["stratum"]) for r in strata), 6))
+
+
 def importance_sample(docs: DataFrame, labels: DataFrame, k: int | None = None, target_rows: int = TARGET_ROWS, keep_text: bool = True) -> DataFrame:
     """Mark a sample of ``k`` documents drawn without replacement by importance weight.
 
     The weight of a document is the ratio of its probability under the target model to that
     under the raw model; the k largest of log weight plus Gumbel noise are the sample. Without
-    ``k`` it is as large as the number of documents whose log weight is at least -TOLERANCE:
-    documents that look like the target stay, and noise decides only near that mark.
+    ``k`` it is ``good_count``, the number of good documents that the labels tell: no weight is a
+    mark by itself.
 
     Adds log_weight, gumbel_key and keep; columns of these names are replaced. Null and empty
     texts have weight 1 (log 0) and stay by it. Ties at the last place all stay. Without target
@@ -146,7 +167,7 @@ def importance_sample(docs: DataFrame, labels: DataFrame, k: int | None = None,
     scores = weighed(base, log_ratios(docs, labels, target_rows))
     scored = settled(scores if keep_text else scores.drop("text"), "weighed")
     if k is None:
-        k = scored.filter(F.col("log_weight") >= -TOLERANCE).count()
+        k = good_count(scored, labels)
     keys = scored.select("gumbel_key")
     last = numbered(keys, [F.col("gumbel_key").desc()]).filter(F.col("position") == k - 1).first() if k > 0 else None
     if last is not None:

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import functools
+import math
 import random
+from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -40,6 +44,58 @@ def test_junk_is_rejected_and_good_text_kept(spark):
     assert weights[1000] == weights[1001] == 0
 
 
+@functools.cache
+def bucket(gram, at):
+    """Where a text of one n-gram is counted; its words come first, its runs last."""
+    return int(quality.features(pa.array([gram]))[0][at])
+
+
+def plain_grams(text):
+    """N-grams of the three bags, by plain loops: words, runs of three bytes (both as their buckets), shapes of repeats."""
+    words = text.split()
+    repeat = [int(i > 0 and words[i] == words[i - 1]) for i in range(len(words))]
+    shapes = [tuple(repeat[i - b] if i >= b else 0 for b in range(3)) for i in range(len(words))]
+    return [bucket(w, 0) for w in words], [bucket(text[i : i + 3], -1) for i in range(len(text) - 2)], shapes
+
+
+def test_log_weights_are_those_of_plain_counts(spark):
+    """By counting: one language, so that the target model is the labelled texts alone."""
+    rows = [(i, t) for i, t, *_ in docs(60)]
+    labels = [(i, int(i % 10 < 8)) for i in range(0, 60, 2)]
+    good = {i for i, q in labels if q}
+    ratios = []
+    for bag, added in enumerate(quality.ADDED):
+        raw = Counter(g for _, t in rows for g in plain_grams(t)[bag])
+        target = Counter(g for i, t in rows if i in good for g in plain_grams(t)[bag])
+        size, all_raw = sum(target.values()), sum(raw.values())
+        ratios.append({g: math.log((target[g] + added) / (n * size / all_raw + added)) for g, n in raw.items()})
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = quality.importance_sample(df, spark.createDataFrame(labels, "doc_id bigint, quality int")).collect()
+    weights = {r["doc_id"]: r["log_weight"] for r in got}
+    for i, t in rows:
+        want = sum(ratios[bag][g] for bag in range(3) for g in plain_grams(t)[bag])
+        assert abs(weights[i] - want) < 1e-3 + 1e-4 * abs(want)
+
+
+def test_the_draw_decides_among_equal_weights(spark):
+    rows = [(i, "alpha beta gamma", "xx") for i in range(400)]
+    labels = spark.createDataFrame([(i, int(i % 2)) for i in range(200)], "doc_id bigint, quality int")
+    got = quality.importance_sample(spark.createDataFrame(rows, "doc_id bigint, text string, lang string"), labels).collect()
+    kept = [r["doc_id"] for r in got if r["keep"]]
+    assert len({r["log_weight"] for r in got}) == 1
+    assert len(kept) == 200 and 150 < sum(kept) / len(kept) < 250
+
+
+def test_good_documents_are_counted_by_stratum(spark):
+    # two strata: of 100 heavy rows 10 are labelled, 9 good; of 300 light ones 30, 6 good; 5 rows of a stratum without labels
+    rows = [(i, 50.0) for i in range(100)] + [(i, -50.0) for i in range(100, 400)] + [(400 + i, 0.5) for i in range(5)]
+    labels = [(i, int(i > 0)) for i in range(10)] + [(100 + i, int(i < 6)) for i in range(30)] + [(None, 1), (5, 1), (7, None), (999, 1)]
+    scored = spark.createDataFrame(rows, "doc_id bigint, log_weight double")
+    told = spark.createDataFrame(labels, "doc_id bigint, quality int")
+    assert quality.good_count(scored, told) == math.ceil(100 * 0.9 + 300 * 0.2 + 5 * 0.9)
+    assert quality.good_count(scored, told.limit(0)) == 405 and quality.good_count(scored.limit(0), told) == 0
+
+
 def test_k_largest_keys_are_the_sample(spark):
     df = spark.createDataFrame(docs(60), "doc_id bigint, text string, lang string, x string")
     labels = spark.createDataFrame([(i, 1, 0) for i in range(0, 60, 3)], "doc_id bigint, quality int, toxic int")
