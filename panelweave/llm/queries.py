@@ -87,7 +87,8 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op7_suffix_levels")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return suffix_levels.cut_repeats(docs, 400)
+    # what is left comes along, so that a cut can be seen and not only counted
+    return suffix_levels.cut_repeats(docs, 400, keep_text=True)
 
 
 @query("op8_semantic_leaks")
