@@ -59,9 +59,11 @@ def best_model(board: DataFrame) -> DataFrame:
 
 
 def latest_run(runs: DataFrame, pattern: str) -> DataFrame:
-    """Newest run whose name matches a LIKE pattern."""
+    """Newest run whose name matches a LIKE pattern, a row however many metrics it logged; of runs
+    that began together, all."""
     names = runs.filter(F.col("run_name").like(pattern)).select("run_id", "run_name", "status", "start_millis")
-    return names.orderBy(F.col("start_millis").desc(), "run_id").limit(1)
+    newest = names.agg(F.max("start_millis")).scalar()
+    return names.filter(F.col("start_millis") == newest).distinct()
 
 
 def normalised(board: DataFrame, metrics: Sequence[str] = tuple(METRIC_NAMES)) -> DataFrame:

@@ -286,15 +286,22 @@ def best_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaderboard.best_model(board(spark, sf_dir))
 
 
-@query(
-    "latest_run",
-    """SELECT 'run-' || event_id AS run_id, event_type || '_' || user_id AS run_name,
-              CASE WHEN event_type = 'error' THEN 'FAILED' ELSE 'FINISHED' END AS status, epoch_us(ts) // 1000 AS start_millis
-       FROM events WHERE event_type || '_' || user_id LIKE 'purchase%7' ORDER BY epoch_us(ts) // 1000 DESC, 'run-' || event_id LIMIT 1""",
-)
+RUN_LOG_SQL = """SELECT 'run-' || event_id AS run_id, event_type || '_' || user_id AS run_name,
+    CASE WHEN event_type = 'error' THEN 'FAILED' ELSE 'FINISHED' END AS status, epoch_us(ts) // 1000 AS start_millis FROM events"""
+
+
+def latest_sql(source: str, pattern: str) -> str:
+    named = f"FROM {source} WHERE run_name LIKE '{pattern}'"
+    return f"""SELECT DISTINCT run_id, run_name, status, CAST(start_millis AS BIGINT) AS start_millis {named}
+       AND start_millis = (SELECT max(start_millis) {named})"""
+
+
+@query("latest_run", f"{latest_sql('runs', '%ean28%')} UNION ALL {latest_sql(f'({RUN_LOG_SQL})', 'purchase%7')}", ("runs",))
 def latest_run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The newest run of a family of names; which one it is, and when it began, is for the table to say."""
-    return leaderboard.latest_run(retail.run_log(spark, sf_dir), "purchase%7")
+    """The newest run of a family of names, among the models' runs and in the event log, where which
+    one it is, and when it began, is for the table to say. Runs that began together all count."""
+    of_models = leaderboard.latest_run(runs(spark, sf_dir), "%ean28%")
+    return of_models.unionByName(leaderboard.latest_run(retail.run_log(spark, sf_dir), "purchase%7"))
 
 
 @query(

@@ -128,6 +128,13 @@ def test_leaderboard_rules(spark):
     assert [r.run_name for r in by_rmse] == ["Tree_v1", "net_v1"]
 
 
+def test_latest_run_keeps_all_that_began_together(spark):
+    rows = [("a", "x_1", "FINISHED", 5, "mae", 1.0), ("a", "x_1", "FINISHED", 5, "rmse", 2.0), ("b", "x_2", "FAILED", 5, "mae", 1.0)]
+    rows += [("c", "x_3", "FINISHED", 4, "mae", 1.0), ("d", "y_1", "FINISHED", 6, "mae", 1.0)]
+    got = leaderboard.latest_run(spark.createDataFrame(rows, RUNS), "x%").collect()
+    assert sorted((r.run_id, r.status) for r in got) == [("a", "FINISHED"), ("b", "FAILED")]
+
+
 def test_joins_report_what_does_not_match(spark):
     forecasts = pairs(spark, [1, 2], [1, 2]).drop("y")
     truth = spark.createDataFrame([("s", day(1), 5.0)], "k string, ds date, y double")
