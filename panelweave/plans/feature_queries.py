@@ -422,20 +422,31 @@ LINE_COLUMNS = (
 )
 
 
-def schema_sql(no: int, columns: tuple[str, ...]) -> str:
+PANEL_COLUMNS = (*KEYS, "date", "sales")
+
+
+def schema_sql(no: int, columns: tuple[str, ...], source: str = "lineitem", same: str | None = None) -> str:
     names = ",".join(columns)
-    same = f"(SELECT string_agg(column_name, ',') FROM (DESCRIBE lineitem)) = '{names}'"
+    same = same or f"(SELECT string_agg(column_name, ',') FROM (DESCRIBE lineitem)) = '{names}'"
     return (
         f"SELECT CAST({no} AS INTEGER) AS check_no, 'columns' AS expectation, '{names}' AS column_name, count(*) AS element_count, "
-        f"CAST(0 AS BIGINT) AS unexpected_count, CAST(NULL AS DOUBLE) AS observed_mean, {same} AS success FROM lineitem"
+        f"CAST(0 AS BIGINT) AS unexpected_count, CAST(NULL AS DOUBLE) AS observed_mean, {same} AS success FROM {source}"
     )
 
 
-@query("dq_schema", f"{schema_sql(1, LINE_COLUMNS)} UNION ALL {schema_sql(2, LINE_COLUMNS[::-1])}")
+@query(
+    "dq_schema",
+    " UNION ALL ".join(
+        [schema_sql(1, PANEL_COLUMNS, "panel", "true"), schema_sql(2, PANEL_COLUMNS[::-1], "panel", "false")]
+        + [schema_sql(1, LINE_COLUMNS), schema_sql(2, LINE_COLUMNS[::-1])]
+    ),
+    ("panel",),
+)
 def dq_schema(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The ordered column list of the raw order lines, and the same list in the wrong order."""
-    lines = retail.raw(spark, sf_dir, "lineitem")
-    return quality.check(lines, [quality.columns_match(*LINE_COLUMNS), quality.columns_match(*LINE_COLUMNS[::-1])])
+    """The ordered column lists of the panel and of the raw order lines, and the same lists in the wrong order."""
+    tables = [(base(spark, sf_dir, "sales"), PANEL_COLUMNS), (retail.raw(spark, sf_dir, "lineitem"), LINE_COLUMNS)]
+    panel, lines = [quality.check(df, [quality.columns_match(*c), quality.columns_match(*c[::-1])]) for df, c in tables]
+    return panel.unionByName(lines)
 
 
 @query(

@@ -6,6 +6,8 @@ import pytest
 
 from panelweave.operators import quality
 from panelweave.operators.quality import between, columns_match, in_set, mean_between, not_null, unique
+from panelweave.plans import feature_queries, medallion
+from panelweave.sources import retail
 
 D0 = dt.date(2016, 1, 1)
 
@@ -62,3 +64,10 @@ def test_summary_failures_and_gate(table):
 
 def test_duplicates(table):
     assert [(r.k, r.n_rows) for r in quality.duplicates(table, ["k", "d"]).collect()] == [("a", 2)]
+
+
+def test_schema_checks_cover_the_whole_panel(spark, sf_dir):
+    found = {(r.column_name, r.element_count, r.success) for r in feature_queries.dq_schema(spark, sf_dir).collect()}
+    n_panel, n_lines = medallion.silver(spark, sf_dir).count(), retail.raw(spark, sf_dir, "lineitem").count()
+    assert ("item_id,store_id,date,sales", n_panel, True) in found and ("sales,date,store_id,item_id", n_panel, False) in found
+    assert len(found) == 4 and {n for _, n, _ in found} == {n_panel, n_lines}
