@@ -8,9 +8,10 @@ import math
 
 import numpy as np
 import pytest
+from pyspark.ml import PipelineModel
 from pyspark.sql import functions as F
 
-from panelweave.operators import boosting, requests, tree_attribution
+from panelweave.operators import boosting, models, requests, tree_attribution
 from panelweave.operators.boosting import TreeParams
 
 
@@ -51,6 +52,30 @@ def test_rounds_are_doubled_without_changing_the_first_ones(spark):
     assert short.errors == long.errors[:8] and long.best == 20
 
 
+def test_a_cut_is_what_a_shorter_fit_gives_without_one(spark, monkeypatch, tmp_path):
+    df, names = noisy(spark)
+    params, plain, fits = TreeParams(depth=4, rate=0.3), TreeParams.regressor, []
+    monkeypatch.setattr(TreeParams, "regressor", lambda self, rounds, seed: fits.append(rounds) or plain(self, rounds, seed))
+    fit = boosting.boost(df, names, "y", F.col("newest"), rounds=60, patience=4, params=params)
+    assert fits == [9 * 2**i for i in range(len(fits))] and fit.best < fits[-1]
+    split = boosting.split_rows(df, names, "y", F.col("newest"))
+    shorter = plain(params, fit.best, 42).fit(split.fit)
+    split.release()
+    fit.model.write().save(f"{tmp_path}/trees")
+    for kept in (fit.model.stages[-1], PipelineModel.load(f"{tmp_path}/trees").stages[-1]):
+        assert kept.toDebugString.split("\n")[1:] == shorter.toDebugString.split("\n")[1:]
+    weights = {r.feature: r.importance for r in models.importances(fit.model, names).collect()}
+    assert weights == pytest.approx(dict(zip(names, shorter.featureImportances.toArray())))
+
+
+def test_importances_name_every_feature(spark):
+    df, names = noisy(spark, 200)
+    df = df.withColumn(names[-1], F.lit(1.0))
+    fit = boosting.boost(df, names, "y", F.col("newest"), rounds=20, patience=3, params=TreeParams(depth=2))
+    weights = {r.feature: r.importance for r in models.importances(fit.model, names).collect()}
+    assert sorted(weights) == names and weights[names[-1]] == 0 < weights[names[0]]
+
+
 def test_nothing_held_out(spark):
     df, names = noisy(spark, 60)
     fit = boosting.boost(df, names, "y", F.lit(False), rounds=3)
