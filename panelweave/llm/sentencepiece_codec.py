@@ -15,7 +15,7 @@ import pyarrow as pa
 import sentencepiece
 from pyspark.sql import DataFrame
 
-from panelweave.llm.texts import BLOCK_BYTES, blocks
+from panelweave.llm.texts import blocks
 
 SPACE = "▁"
 CACHED_UNITS = 400_000  # units of text kept per worker
@@ -303,7 +303,7 @@ def encode_decode(docs: DataFrame, model: bytes, keep: tuple[str, ...] = (), tex
 
     def run(batches) -> Iterator[pa.RecordBatch]:
         codec = codec_of(model)
-        for batch in blocks(batches, text_column, 4 * BLOCK_BYTES):
+        for batch in blocks(batches, text_column):
             encoded = codec.encode([t or "" for t in batch.column(text_column).to_pylist()])
             decoded = codec.decode(encoded)
             columns = {

@@ -8,6 +8,7 @@ import struct
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import sentencepiece
 
@@ -54,3 +55,15 @@ def test_digests(spark, model):
     kept = encode_decode(df, model, keep=("ids", "decoded")).filter("doc_id = 7").first()
     assert kept["decoded"] == "a\tb\nc" and kept["ids"][0] == 1 and kept["ids"][-1] == 2
     assert encode_decode(df.limit(0), model).count() == 0
+
+
+def test_what_is_encoded_at_a_time_is_bounded(spark, model, monkeypatch):
+    """Workers keep the memory of their largest block for all later stages."""
+    docs = spark.createDataFrame([(1, "a")], "doc_id long, text string")
+    taken = []
+    monkeypatch.setattr(type(docs), "mapInArrow", lambda self, run, schema: taken.append(run))
+    encode_decode(docs, model)
+    text = "some words " * 10_000
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(25)), "text": [text] * 25})
+    rows = [made.num_rows for made in taken[0]([batch])]
+    assert sum(rows) == 25 and max(rows) * len(text) <= (1 << 20) + len(text)
