@@ -60,15 +60,26 @@ FEATURES = 1 << 14
 SAMPLE = 4_000  # bound of the corpus paragraphs for training, and again for calibration
 DOCUMENTS = 4  # documents that are read for each sampled paragraph
 # A line that ends a sentence, and a line without letter or digit, end a paragraph; other line ends are wraps.
-PARAGRAPH_END = "(?<=[.!?\\u3002\\uff01\\uff1f][\"')\\]]{0,2}[ \\t\\r]{0,4})\\n|\\n(?=[^\\p{L}\\p{N}\\n]*(?:\\n|$))"
+# The pattern begins with the line end, so that nothing is looked at around any other character.
+PARAGRAPH_END = "\\n(?:(?<=[.!?\\u3002\\uff01\\uff1f][\"')\\]]{0,2}[ \\t\\r]{0,4}\\n)|(?=[^\\p{L}\\p{N}\\n]*(?:\\n|$)))"
 CONFIRMED = 0.6  # share of a template's n-grams that its paragraph has
 
 
+def word_list(paragraph: Column) -> Column:
+    """Lower-case words; empty for null."""
+    return F.array_remove(F.split(F.lower(F.coalesce(paragraph, F.lit(""))), "[^\\p{L}\\p{N}]+"), "")
+
+
+def word_grams(words: Column) -> Column:
+    """Distinct words and pairs of words. ``words`` is used several times: let it be a column."""
+    firsts = F.slice(words, 1, F.greatest(F.size(words) - 1, F.lit(0)))
+    pairs = F.zip_with(firsts, F.slice(words, 2, 1_000_000_000), lambda a, b: F.concat(a, F.lit(" "), b))
+    return F.array_distinct(F.concat(words, pairs))
+
+
 def grams(paragraph: Column) -> Column:
     """Distinct lower-case words and pairs of words; empty for null."""
-    words = F.filter(F.split(F.lower(F.coalesce(paragraph, F.lit(""))), "[^\\p{L}\\p{N}]+"), lambda w: w != "")
-    pairs = F.zip_with(words, F.slice(words, 2, 1_000_000_000), lambda a, b: F.concat_ws(" ", a, b))
-    return F.array_distinct(F.concat(words, F.filter(pairs, lambda p: p.contains(" "))))
+    return word_grams(word_list(paragraph))
 
 
 def template_grams(text: str) -> list[str]:
@@ -114,7 +125,8 @@ class LicenceModel:
     def scored(self, lines: DataFrame) -> DataFrame:
         """Add grams, family (most probable class but ``none``), its probability, and that of any
         licence at all."""
-        hashed = HashingTF(numFeatures=FEATURES, binary=True, inputCol="grams", outputCol="_features").transform(once(lines, grams=grams(F.col("line"))))
+        spelled = once(once(lines, _words=word_list(F.col("line"))), grams=word_grams(F.col("_words"))).drop("_words")
+        hashed = HashingTF(numFeatures=FEATURES, binary=True, inputCol="grams", outputCol="_features").transform(spelled)
         got = once(self.model.transform(hashed), _p=vector_to_array("probability")).drop("_features", "probability")
         only = F.slice("_p", 2, len(self.families) - 1)  # the first class is none
         best = F.array_max(only)

@@ -151,6 +151,25 @@ def test_paragraphs(spark):
     assert got == [(3, "One."), (3, "Two three!"), (3, "four"), (3, "-- five \u3002"), (3, "six"), (4, "a"), (4, 'b" c."'), (4, "d")]
 
 
+def test_paragraph_ends_are_sought_at_line_ends_only(spark):
+    rng = random.Random(8)
+    texts = ["".join(rng.choice(["\n", "\n", ".", "! ", '"', ")", " ", "\t", "\r", "a", "b7", "--", "\u3002"]) for _ in range(rng.randint(0, 60))) for _ in range(400)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    # the plain pattern, which looks back from every character
+    plain = "(?<=[.!?\\u3002\\uff01\\uff1f][\"')\\]]{0,2}[ \\t\\r]{0,4})\\n|\\n(?=[^\\p{L}\\p{N}\\n]*(?:\\n|$))"
+    from pyspark.sql import functions as F
+
+    assert df.filter(~F.split("text", plain).eqNullSafe(F.split("text", licences.PARAGRAPH_END))).count() == 0
+    assert licences.PARAGRAPH_END.startswith("\\n")
+
+
+def test_the_words_of_a_paragraph_are_split_once(spark):
+    rows = [(i, f"river stone wind {i}.\nLicensed under CC BY-NC 4.0.") for i in range(8)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    plan = licences.scan(df, licences.train(df))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("split(lower(") == 1 and plan.count("array_distinct(") == 1
+
+
 def test_calibrated_mark_has_the_fewest_errors():
     rng = random.Random(4)
     for _ in range(50):
