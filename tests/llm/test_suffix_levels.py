@@ -76,3 +76,18 @@ def test_levels_merge_geometrically(spark):
         heads = {r["head"] for r in found.collect()}
         assert (100 in heads) == (i > 0) and (200 + i // 2 in heads) == (i % 2 == 1)
     assert sorted(family.levels) == [1, 2]  # 2 + 4 batches
+
+
+def test_the_query_returns_the_text_that_is_left(spark, tmp_path):
+    from panelweave.llm.queries import QUERIES
+
+    passage = "".join(random.Random(7).choice("abcdefgh ") for _ in range(450))
+    rows = [(1, "first " + passage + " end"), (2, "second: " + passage), (3, "alone"), (4, None)]
+    spark.createDataFrame(rows, "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r for r in QUERIES["op7_suffix_levels"](spark, str(tmp_path)).collect()}
+    for i, text in rows:
+        left = got[i]["text"]
+        assert (left is None) == (text is None)
+        assert len((left or "").encode()) == got[i]["n_bytes"] - got[i]["n_removed"]
+        assert hashlib.sha256((left or "").encode()).hexdigest() == got[i]["kept_sha256"]
+    assert got[1]["n_removed"] >= 450 and got[2]["n_removed"] >= 450 and got[3]["text"] == "alone"
