@@ -8,6 +8,7 @@ from collections import Counter
 
 import pytest
 
+from panelweave.llm import suffix_levels
 from panelweave.llm.suffix_levels import SuffixLevels, cut_repeats
 
 
@@ -91,3 +92,22 @@ def test_the_query_returns_the_text_that_is_left(spark, tmp_path):
         assert len((left or "").encode()) == got[i]["n_bytes"] - got[i]["n_removed"]
         assert hashlib.sha256((left or "").encode()).hexdigest() == got[i]["kept_sha256"]
     assert got[1]["n_removed"] >= 450 and got[2]["n_removed"] >= 450 and got[3]["text"] == "alone"
+
+
+def test_strings_whose_middle_stands_nowhere_else_are_not_written(spark, monkeypatch):
+    rng, counts, settled = random.Random(5), {}, suffix_levels.settled
+    prose = lambda n: "".join(rng.choice("abcdefghijklmnop ") for _ in range(n))
+    passage, long = prose(340), prose(900)  # too short for the mark, and not
+    texts = [prose(600) + passage + prose(600) for _ in range(20)] + [prose(50) + long[a:] + prose(50) for a in (0, 0, 77, 450)]
+
+    def noted(df, name):
+        out = settled(df, name)
+        counts[name] = counts.get(name, 0) + out.count()
+        return out
+
+    monkeypatch.setattr(suffix_levels, "settled", noted)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = cut_repeats(df, 400).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256").collect()
+    assert sorted(map(tuple, got)) == [(i, *b) for i, b in enumerate(brute(texts, 400))]
+    assert sum(r["n_removed"] > 0 for r in got) == 4
+    assert counts["edges"] < 450  # near the ends of the long passage only; each text has about 100 around the short one
