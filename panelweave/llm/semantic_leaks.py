@@ -22,10 +22,12 @@ COSINE = 0.44  # for a full passage; less for shorter items, which share their p
 WHOLE_MATCH = 0.8  # share of an item's words, in order, that settles a leak by itself
 PARAPHRASE = 0.5  # share that does with the answer
 ANSWER = 4  # closing words of an item
-RUNS_TOGETHER = 1 << 10  # runs of words projected at a time, so that their rows stay in cache
+RUNS_TOGETHER = 1 << 9  # sums of rows taken at a time, so that they stay in cache
 CHUNKS = 64
 SLOTS = 1 << 12  # of the table that tells which words stand around a passage
 PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[]^_`{|}~"
+_IS_WORD = np.ones(256, bool)
+_IS_WORD[list(PUNCTUATION.encode())] = False
 
 
 def plain(text: Column) -> Column:
@@ -38,14 +40,16 @@ def tokenised(docs: DataFrame) -> DataFrame:
 
     def run(batches) -> Iterator[pa.RecordBatch]:
         for batch in blocks(batches):
-            hashes, owner = words(*utf8(batch.column("text")))
+            data, offsets = utf8(batch.column("text"))
+            keep = _IS_WORD[data]  # as in ``plain``; these bytes stand in no other character
+            hashes, owner = words(data[keep], np.append(0, np.cumsum(keep))[offsets])
             bounds = runs_within(owner, batch.num_rows)
             have = np.flatnonzero(np.diff(bounds))
             raw = (hashes >> np.uint64(32)).astype(np.uint32).tobytes()
             packed = [raw[4 * bounds[i] : 4 * bounds[i + 1]] for i in have.tolist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(have)), pa.array(packed, pa.binary())], names=["doc_id", "words"])
 
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), plain(F.col("text")).alias("text")).mapInArrow(run, "doc_id bigint, words binary")
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.lower("text").alias("text")).mapInArrow(run, "doc_id bigint, words binary")
 
 
 def terms_of(hashes: np.ndarray, owner: np.ndarray) -> np.ndarray:
@@ -56,6 +60,25 @@ def terms_of(hashes: np.ndarray, owner: np.ndarray) -> np.ndarray:
     return terms
 
 
+def row_sums(matrix: np.ndarray, picks: np.ndarray, begins: np.ndarray) -> np.ndarray:
+    """Sum of the matrix rows that each group of neighbouring ``picks`` names. Groups start at
+    ``begins`` and have 1 to STRIDE picks; the larger come first, so that a step adds one row to
+    each of many groups."""
+    sizes = np.diff(np.append(begins, len(picks)))
+    order = np.argsort((STRIDE - sizes).astype(np.uint16), kind="stable")
+    out = np.empty((len(begins), matrix.shape[1]), matrix.dtype)
+    row = np.empty((RUNS_TOGETHER, matrix.shape[1]), matrix.dtype)
+    for a in range(0, len(order), RUNS_TOGETHER):
+        part = order[a : a + RUNS_TOGETHER]
+        first, size = begins[part], sizes[part]
+        total = matrix.take(picks[first], axis=0)
+        for j in range(1, size[0]):
+            n = np.searchsorted(-size, -j)  # groups of more than j picks
+            total[:n] += np.take(matrix, picks[first[:n] + j], axis=0, out=row[:n], mode="clip")
+        out[part] = total
+    return out
+
+
 @dataclass
 class Passages:
     """Words of some texts, cut into runs of STRIDE words. A passage is two neighbouring runs of
@@ -75,15 +98,9 @@ class Passages:
         self.first = np.flatnonzero(follows | ~led)
         self.paired = follows[self.first]
 
-    def over_runs(self, matrix: np.ndarray, a: int, b: int) -> np.ndarray:
-        """Sum of the matrix rows of the terms of each of the runs a to b - 1."""
-        low, high = self.begins[a], self.begins[b] if b < len(self.begins) else len(self.terms)
-        return np.add.reduceat(matrix[self.terms[low:high]], self.begins[a:b] - low, axis=0)
-
     def rows(self, matrix: np.ndarray, weights: np.ndarray) -> np.ndarray:
         """Rows of the TF-IDF matrix, each scaled to length 1, times the weighted matrix."""
-        n = len(self.begins)
-        runs = np.concatenate([self.over_runs(matrix, a, min(a + RUNS_TOGETHER, n)) for a in range(0, n, RUNS_TOGETHER)])
+        runs = row_sums(matrix, self.terms, self.begins)
         rows = runs[self.first]
         rows[self.paired] += runs[self.first[self.paired] + 1]
         return rows * self.scales(weights)[:, None]
@@ -115,8 +132,9 @@ def document_weights(tokens: DataFrame) -> np.ndarray:
     def frequencies(batches) -> Iterator[pa.RecordBatch]:
         total, n = np.zeros(TERMS + 1, np.int64), 0
         for _, p in unpacked(batches):
-            met = np.unique(np.repeat(np.arange(len(p.sizes)), p.sizes) * (TERMS + 1) + p.terms)
-            total += np.bincount(met % (TERMS + 1), minlength=TERMS + 1)
+            bounds = np.append(0, np.cumsum(p.sizes)).tolist()
+            for a, b in zip(bounds, bounds[1:]):
+                total[p.terms[a:b]] += 1  # once for a term, however often it is listed
             n += len(p.sizes)
         total[TERMS] = n
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(TERMS + 1)), pa.array(total)], names=["term", "n"])
@@ -154,15 +172,14 @@ def fit(tokens: DataFrame, rank: int = RANK, seed: int = 3) -> LatentSpace:
             runs = np.zeros((len(p.begins), rank), np.float32)  # of the passages that a run is in
             runs[p.first] += rows
             runs[p.first[p.paired] + 1] += rows[p.paired]
-            order = np.argsort(p.terms, kind="stable")
+            order = np.argsort(p.terms.astype(np.uint16), kind="stable")
             terms = p.terms[order]
             run = np.repeat(np.arange(len(p.begins)), np.diff(np.append(p.begins, len(terms))))[order]
-            cuts = np.append(np.flatnonzero(np.concatenate([[True], terms[1:] != terms[:-1]])), len(terms))
-            step = 1024
-            for a in range(0, len(cuts) - 1, step):
-                part = cuts[a : a + step + 1]
-                low, high = part[0], part[-1]
-                total[terms[part[:-1]]] += np.add.reduceat(runs[run[low:high]], part[:-1] - low, axis=0)
+            new = np.append(True, terms[1:] != terms[:-1])
+            cuts = np.flatnonzero(new)
+            place = np.arange(len(terms)) - np.repeat(cuts, np.diff(np.append(cuts, len(terms))))
+            groups = np.flatnonzero(place % STRIDE == 0)
+            total[terms[cuts]] += np.add.reduceat(row_sums(runs, run, groups), np.flatnonzero(new[groups]), axis=0)
         size = TERMS // CHUNKS
         for i in range(CHUNKS):
             yield pa.RecordBatch.from_arrays([pa.array([i]), pa.array([total[i * size : (i + 1) * size].astype(np.float32).tobytes()], pa.binary())], names=["chunk", "part"])
@@ -344,10 +361,10 @@ def _search(tokens: DataFrame, space: LatentSpace, items: list[tuple[int, str]],
             for a in range(0, len(rows), 1024):
                 near = rows[a : a + 1024] @ query.T
                 want = np.zeros((len(near), len(spelled)), bool)
-                close, which = np.nonzero(near >= least)
+                close, which = np.divmod(np.flatnonzero(near >= least), len(least))
                 want[close, of_item[which]] = True
                 certain.mark(want, p.hashes, begins[a : a + 1024], ends - p.sizes, ends)
-                at, items_at = np.nonzero(want)
+                at, items_at = np.divmod(np.flatnonzero(want), len(spelled))
                 if not len(at):
                     continue
                 met, which_met = np.unique(at, return_inverse=True)
@@ -370,11 +387,13 @@ def _search(tokens: DataFrame, space: LatentSpace, items: list[tuple[int, str]],
                 text, item, begin = p.owner[p.first[i]], spelled[k], p.begins[p.first[i]]
                 low = ends[text] - p.sizes[text]
                 around = p.hashes[max(low, begin - len(item)) : min(ends[text], begin + PASSAGE + len(item))].tolist()
+                tail, met = item[-ANSWER:], set(around)
+                answer = met.issuperset(tail) and any(around[j : j + len(tail)] == tail for j in range(len(around) - len(tail) + 1))
+                if not answer and sum(w in met for w in item) < WHOLE_MATCH * len(item):
+                    continue
                 share = lcs_length(item, around) / len(item)
                 if share < PARAPHRASE:
                     continue
-                tail = item[-ANSWER:]
-                answer = any(around[j : j + len(tail)] == tail for j in range(len(around) - len(tail) + 1))
                 if share >= WHOLE_MATCH or answer:
                     out.append((ids[text], hashed[k][0], score, share, answer))
             if out:

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
+
 from panelweave.llm import licences, semantic_leaks
 
 
@@ -88,6 +90,32 @@ def test_every_pair_that_the_rule_accepts_is_found(spark):
     assert len(rows) == len(got) and any(r["cosine"] < semantic_leaks.COSINE / 2 for r in rows)
 
 
+def test_words_are_made_plain_without_a_translation_in_the_plan(spark):
+    texts = ["Don't STOP, e-mail: ÄÖ… «naïve» İstanbul", "...", "", None, "(a) b_c  d", "漢字、x; y", "!a", "z"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    made = semantic_leaks.tokenised(docs)
+    assert "translate" not in made._jdf.queryExecution().optimizedPlan().toString()
+    got = {r["doc_id"]: np.frombuffer(r["words"], np.uint32).tolist() for r in made.collect()}
+    for i, text in docs.select("doc_id", semantic_leaks.plain("text").alias("text")).collect():
+        raw = (text or "").encode()
+        want = (semantic_leaks.words(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))[0] >> np.uint64(32)).astype(np.uint32).tolist()
+        assert got.get(i, []) == want
+    texts_of = [set(x) for x in got.values()]
+    weights = semantic_leaks.document_weights(made)
+    for word in set().union(*texts_of):
+        assert np.isclose(weights[word >> 17], np.log((len(texts_of) + 1) / (sum(word in x for x in texts_of) + 1)))
+
+
+def test_sums_of_rows():
+    rng = np.random.default_rng(5)
+    matrix = rng.standard_normal((50, 7)).astype(np.float32)
+    sizes = rng.integers(1, semantic_leaks.STRIDE + 1, 1300)
+    begins, picks = np.cumsum(sizes) - sizes, rng.integers(0, 50, sizes.sum())
+    want = [matrix[picks[a : a + n]].sum(axis=0) for a, n in zip(begins, sizes)]
+    assert np.allclose(semantic_leaks.row_sums(matrix, picks, begins), want, atol=1e-5)
+    assert semantic_leaks.row_sums(matrix, picks[:0], begins[:0]).shape == (0, 7)
+
+
 def test_licence_families(spark):
     rng = random.Random(6)
     prose = lambda: " ".join(rng.choice("the of and land sea river stone wind tree light".split()) for _ in range(12)) + "."
